@@ -18,8 +18,8 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Characters below U+0250 without controls, no-break space and dotted capital I, and general punctuation.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧]*")
-KEEP = 500_000  # chunks kept; the cache starts anew when full
-KEEP_WORDS = 1_000_000  # words (pieces of chunks) kept
+KEEP = 400_000  # chunks kept; the cache starts anew when full
+KEEP_WORDS = 700_000  # words (pieces of chunks) kept
 LONG = 64  # characters beyond which neither is kept
 
 

@@ -5,8 +5,10 @@ K x K cells.  A query walks cells in order of summed distance of its halves to t
 heap (the multi-sequence algorithm), until the cells it has passed hold enough vectors; those are ranked again
 by exact distance.
 
-Centroids are fitted on a bounded sample; every vector is indexed.  Cells are stored in blocks of bounded
-size, and queries meet blocks in bounded groups, so a hot cell is many tasks' work.
+Centroids are fitted on a bounded sample; every vector is indexed.  Neighbouring cells are packed to blocks of
+bounded size (a hot cell fills several), and queries meet blocks in bounded groups, so a hot cell is many tasks'
+work.  The share of vectors that a query passes is for data without clusters, where a recall of 0.9 takes that
+much; give a smaller one for embeddings that cluster.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from .shared import materialize
 SAMPLE_BYTES, SAMPLE_ROWS = 32 << 20, 20_000  # of the sample that centroids are fitted on
 MOST_CENTROIDS = 512  # so the table of cells has 2 ** 18 rows at most
 BLOCK, GROUP = 1024, 64  # vectors in a block, queries in a group
-CANDIDATES, CELLS = 3000, 24  # vectors and non-empty cells that a query passes at least
+PER_CELL = 8  # vectors in a cell on average, while the number of centroids allows it
+SHARE, LEAST, CELLS = 0.55, 2000, 24  # of the vectors, vectors, and non-empty cells, that a query passes at least
 K = 10
 
 
@@ -98,7 +101,7 @@ def _top(ids, dist, k: int):
     return order[np.sort(first)][:k]
 
 
-def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", candidates: int = CANDIDATES, cells: int = CELLS) -> DataFrame:
+def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id ``every`` divides, the k nearest other rows found.
 
     Score is the Euclidean distance in double precision on the original vectors; ties go to the smaller id.
@@ -119,11 +122,11 @@ def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id",
     dim, n = sizes[0]["d"], sizes[0]["n"]
     rows = rows.filter(F.size("v") == dim)
     most = max(64, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
-    share = min(1.0, 1.1 * most / n)
-    seen = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * most).collect()
+    part = min(1.0, 1.1 * most / n)
+    seen = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(part * (1 << 30))).select("v").limit(2 * most).collect()
     x = np.array([r["v"] for r in seen] or [r["v"] for r in rows.limit(1).collect()])
     x = x[np.lexsort(x.T[:4][::-1])]
-    pairs = max(1, min(MOST_CENTROIDS, round((n / 24) ** 0.5)))
+    pairs = max(1, min(MOST_CENTROIDS, round((n / PER_CELL) ** 0.5)))
     ca, cb = (kmeans(h, min(pairs, len(h))) if h.shape[1] else np.zeros((1, 0)) for h in halves(x))
 
     def assign(batches: Iterator) -> Iterator:
@@ -138,27 +141,39 @@ def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id",
     index = materialize(rows.mapInArrow(assign, "vec_id long, cell int, v array<double>"), "imi_index")
     # one row a cell: at most MOST_CENTROIDS ** 2
     count = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    candidates = max(k + 1, LEAST, int(share * n))
+    place, block, held = {}, 0, 0  # of each cell: first block, number of blocks
+    for cell in sorted(count):
+        if held and held + count[cell] > BLOCK:
+            block, held = block + 1, 0
+        parts = -(-count[cell] // BLOCK)
+        place[cell] = (block, parts)
+        block, held = (block + parts, 0) if parts > 1 else (block, held + count[cell])
 
     def probe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             v = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
-            a, b = halves(v)
-            da, db = (((h[:, None, :] - c[None]) ** 2).sum(2) if len(c) * h.shape[1] < 65536 else (h * h).sum(1)[:, None] - 2 * h @ c.T + (c * c).sum(1) for h, c in ((a, ca), (b, cb)))
-            found = [walk(p, q, count, candidates, cells) for p, q in zip(da, db, strict=True)]
-            own = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array([c for f in found for c in f], pa.int32())], names=["query_id", "cell"])
+            da, db = ((h * h).sum(1)[:, None] - 2 * h @ c.T + (c * c).sum(1) for h, c in zip(halves(v), (ca, cb), strict=True))
+            for i, q in enumerate(batch.column(0).to_pylist()):
+                at: dict[int, list[int]] = {}
+                for cell in walk(da[i], db[i], count, candidates, cells):
+                    first, parts = place[cell]
+                    for b in range(first, first + parts):
+                        at.setdefault(b, []).append(cell)
+                rows = [pa.array([q] * len(at), pa.int64()), pa.array(list(at), pa.int32()), pa.array(list(at.values()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(rows, names=["query_id", "block", "cells"])
 
     queries = materialize(index.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "imi_queries")
-    probes = queries.repartition(F.col("query_id")).mapInArrow(probe, "query_id long, cell int")
+    probes = queries.repartition(F.col("query_id")).mapInArrow(probe, "query_id long, block int, cells array<int>")
     groups = (max(1, queries.count()) + GROUP - 1) // GROUP
-    asked = probes.join(queries, "query_id").groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    # a cell of c vectors has ceil(c / BLOCK) blocks; the table has a row a cell, at most MOST_CENTROIDS ** 2
-    parts = spark.createDataFrame([(c, -(-m // BLOCK)) for c, m in sorted(count.items())], "cell int, parts int")
-    salted = index.join(F.broadcast(parts), "cell")
-    blocks = salted.groupBy("cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vectors"))
-    met = materialize(blocks, "imi_blocks").join(materialize(asked, "imi_asked"), "cell").select("queries", "vectors")
+    asked = probes.join(queries, "query_id").groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "q", "cells")).alias("queries"))
+    # a row a cell again
+    places = spark.createDataFrame([(c, b, p) for c, (b, p) in place.items()], "cell int, first int, parts int")
+    packed = index.join(F.broadcast(places), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int"))
+    blocks = packed.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v", "cell")).alias("vectors"))
+    met = materialize(blocks, "imi_blocks").join(materialize(asked, "imi_asked"), "block").select("queries", "vectors")
 
     def rank(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -166,15 +181,14 @@ def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id",
         for batch in batches:
             for qs, vs in zip(batch.column(0), batch.column(1), strict=True):
                 qs, vs = qs.values, vs.values
-                qid, vid = (np.asarray(s.field(0)) for s in (qs, vs))
+                qid, vid, cell = np.asarray(qs.field(0)), np.asarray(vs.field(0)), np.asarray(vs.field(2))
                 q, v = (np.asarray(s.field(1).flatten()).reshape(-1, dim) for s in (qs, vs))
                 out = []
                 for i, own in enumerate(qid):
-                    on = vid != own
-                    ids = vid[on]
+                    on = np.flatnonzero(np.isin(cell, qs.field(2)[i].values.to_numpy()) & (vid != own))
                     d = np.sqrt(((v[on] - q[i]) ** 2).sum(1))
-                    top = _top(ids, d, k)
-                    out.append((np.full(len(top), own), ids[top], d[top]))
+                    top = _top(vid[on], d, k)
+                    out.append((np.full(len(top), own), vid[on][top], d[top]))
                 a, b, c = (np.concatenate(p) for p in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
 

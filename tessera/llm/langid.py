@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,12 @@ class Features:
         return at.astype(np.uint16), (v / np.sqrt((v * v).sum())).astype(np.float32)
 
 
+@lru_cache(maxsize=1)
+def _features() -> Features:
+    """One for each worker process, which serves many tasks."""
+    return Features()
+
+
 def fit_svm(x, y, rounds: int = 300, penalty: float = 1e-4):
     """(w, b) of a linear SVM: hinge loss, class-balanced, averaged subgradient steps."""
     import numpy as np
@@ -154,7 +161,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        make = Features()
+        make = _features()
         for batch in batches:
             for t, lang, h in zip(*(batch.column(k) for k in ("text", "lang", "h")), strict=True):
                 if (f := make(t.as_py())) is not None:
@@ -185,7 +192,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        make = Features()
+        make = _features()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             found = []

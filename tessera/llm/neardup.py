@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,10 +179,16 @@ class Darts:
         return h.view(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _tools() -> tuple[Shingles, Darts]:
+    """One of each for a worker process, which serves many tasks."""
+    return Shingles(), Darts()
+
+
 def _sign(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    cut, darts = Shingles(), Darts()
+    cut, darts = _tools()
     for batch in batches:
         texts, keys = batch.column(1), []
         for i in range(batch.num_rows):
@@ -195,7 +202,7 @@ def _verify(similar: float):
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cut, kept = Shingles(), {}
+        cut, kept = _tools()[0], {}
 
         def of(node, text):
             if node not in kept:

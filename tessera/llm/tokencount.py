@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,6 +197,12 @@ class Prefixes:
         return int(self.table(text)[-1]) if self.enc.plain(text) else len(self.enc.whole([text])[0]) // 2
 
 
+@lru_cache(maxsize=2)
+def prefixes(path: str) -> Prefixes:
+    """One for each worker process, which serves many tasks."""
+    return Prefixes(path)
+
+
 def fits(table, budget: int) -> int:
     """Length of the longest prefix with at most ``budget`` tokens."""
     import numpy as np
@@ -207,7 +214,7 @@ def _counter(tokenizer: str, limit: int, tables: bool):
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        pre = Prefixes(tokenizer)
+        pre = prefixes(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             n_bytes, n_tokens, prefix = [], [], []
