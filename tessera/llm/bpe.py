@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -80,3 +81,9 @@ class Encoder:
         found = {c: b"".join([ids[w] if w in ids else words[w] for w in ws]) for c, ws in cut.items()}
         self.kept.update((c, x) for c, x in found.items() if len(c) <= LONG)
         return b"".join([found[c] if c in found else self.kept[c] for c in chunks])
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, width: int = 2) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path, width)

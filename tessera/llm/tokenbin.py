@@ -30,9 +30,9 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .bpe import Encoder
+        from .bpe import encoder
 
-        enc, end = Encoder(tokenizer, width), int(end_id).to_bytes(width, "little")
+        enc, end = encoder(tokenizer, width), int(end_id).to_bytes(width, "little")
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         ends, ids, known, out = array("q", [0]), array("q"), bytearray(), None
