@@ -173,7 +173,7 @@ def read_shard(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
             yield b"".join(parts)
             data = one.unused_data
             one, parts = unpack.decompressobj(), []
-    if any(parts):
+    if parts:  # a frame was begun
         raise BadRecord("the last frame is cut off")
 
 
