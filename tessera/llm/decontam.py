@@ -161,6 +161,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = None
     for items in _blocks(benchmark, item_col, item_text):
         grams = sorted({g for _, w in items for g in grams_of(w)})
+        if not grams:
+            continue
         counted = docs.select("text").mapInArrow(_counter(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         count = {grams[r["gram"]]: r["n"] for r in counted}
         owners: dict[str, list[int]] = {}
@@ -170,7 +172,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         seeds = sorted(owners)
         found = docs.mapInArrow(_finder(items, seeds, [owners[s] for s in seeds], least), FOUND)
         out = found if out is None else out.union(found)
-    return out
+    return out if out is not None else df.sparkSession.createDataFrame([], FOUND)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SCORE) -> DataFrame:
