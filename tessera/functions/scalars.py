@@ -80,8 +80,8 @@ def float_key(values):
     import pandas as pd
 
     bits = values.to_numpy(dtype="float64", na_value=np.nan).view("u8")
-    keys = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63)).astype(">u8")
-    return pd.Series([None if null else k.tobytes() for k, null in zip(keys, values.isna(), strict=True)])
+    keys = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63)).astype(">u8").tobytes()
+    return pd.Series([None if null else keys[8 * i : 8 * i + 8] for i, null in enumerate(values.isna())])
 
 
 def capture(payload: Column, pattern: str, group: int) -> Column:

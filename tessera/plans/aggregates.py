@@ -24,11 +24,11 @@ R.sql("a2_count_expr", "documents labels", "SELECT count(l.quality) AS labelled,
 R.sql("a3_sum", "lineitem", f"SELECT CAST(sum(l_linenumber) AS BIGINT) AS i, {_DEC.format('l_extendedprice')} AS p FROM lineitem")
 
 
-@R.add("SELECT CAST(sum(CAST(event_id AS HUGEINT) * 1000000007) AS DECIMAL(20,0)) AS s FROM events")
+@R.add("SELECT CAST(sum(CAST(event_id AS HUGEINT) * 1000000007) AS BIGINT) AS s FROM events")
 def a3_sum_u64(spark, d):
     """An exact unsigned 64-bit sum."""
     big = (F.col("event_id").cast("decimal(20,0)") * F.lit(1000000007)).cast("decimal(20,0)")
-    return table(spark, d, "events").agg(u64_sum(big).alias("s"))
+    return table(spark, d, "events").agg(u64_sum(big).cast("long").alias("s"))
 
 
 R.sql("a4_min_max", "events", "SELECT min(event_id) AS a, max(event_id) AS b, min(ts) AS c, max(ts) AS d, min(event_type) AS e, max(event_type) AS f, min(value) AS g, max(value) AS h FROM events")
