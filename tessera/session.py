@@ -115,6 +115,10 @@ class Engine:
             for s in self.specs.values()
         ]
 
+    def register_function(self, name: str, function) -> None:
+        """A UDF (Python, pandas, Arrow or table function) for SQL."""
+        (self.spark.udtf if hasattr(function, "func") and isinstance(function.func, type) else self.spark.udf).register(name, function)
+
     # indexes
 
     def backfill(self, name: str, progress: Callable[[dict], None] | None = None) -> list[str]:

@@ -142,6 +142,24 @@ def subscribe_sql(spark: SparkSession, root: str, table: str, schema: T.StructTy
     return each_sequence(stream(spark, root, table, schema, since).filter(F.expr(where)), handle, checkpoint, once)
 
 
+def subscribe_operations(spark: SparkSession, root: str, handle: Callable[[int, DataFrame], None], checkpoint: str, where: str = "true", since: int | None = None, once: bool = False) -> StreamingQuery:
+    """Operations of an uploaded log, batch by batch.
+
+    A batch and its watermark are published as one, so whatever is seen is at or below the watermark; the
+    batch number is the cursor to resume from.
+    """
+    from ..sources.upload import OPS
+
+    return each_sequence(stream(spark, root, "ops", OPS, since).filter(F.expr(where)), handle, checkpoint, once)
+
+
+def subscribe_records(spark: SparkSession, root: str, kind: str, handle: Callable[[int, DataFrame], None], checkpoint: str, since: int | None = None, once: bool = False) -> StreamingQuery:
+    """Headers, blocks or certificates, as they are uploaded."""
+    from ..artifacts import KINDS
+
+    return each_sequence(stream(spark, root, kind, KINDS[kind], since), handle, checkpoint, once)
+
+
 def collect_sequences(log: CommitLog) -> list[Row]:
     """seq and rows of each retained batch."""
     return [Row(seq=s, rows=sum(log.manifest(s)["rows"].values())) for s in log.sequences()]
