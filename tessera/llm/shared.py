@@ -1,41 +1,16 @@
-"""Helpers of the training-data operators: tables in the cluster's shared folder, file access, naming."""
+"""Helpers of the training-data operators: the library's shared tables, file access, naming."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a per-source or per-dimension table is broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+from ..sources.tables import materialize, shared_dir
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+__all__ = ["BROADCAST_ROWS", "local_path", "materialize", "open_fs", "shared_dir", "small", "without"]
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage with a copy that outlives executors, and gives Catalyst the table's true
-    size, so that broadcast joins are chosen behind a check of it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows up to which a per-source or per-dimension table is broadcast; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
