@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds find places, Smith-Waterman alignment scores them.
 
-Pass one counts every three-word run of the items over all documents.  The seeds are, of every eight
+Pass one counts every three-word run of the items over all documents.  The seeds are, of every four
 neighbouring runs of an item, the one that the corpus has least often: each part of an item keeps a seed,
 however common the passage is, and the seeds are as rare as they can be.  Pass two joins passages to items
 by these seeds, in one automaton, and aligns each item with the words around its seeds.  The score is the
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-GRAM, WINDOW, SCORE = 3, 8, 0.5
+GRAM, WINDOW, SCORE = 3, 4, 0.4
 BLOCK_CHARS = 4_000_000  # of item texts searched for at once; larger sets go in blocks
 WORDS = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, score double, start_word long, stop_word long"

@@ -225,7 +225,7 @@ def test_contaminated_against_brute_force(spark):
     words = lambda t: re.findall(r"\w+", (t or "").lower())
     score = lambda x, t: slow_align(words(x), words(t)) / (2 * len(words(x)))
     # items of fewer words than a seed has are found whole only
-    want = {(d, i): s for d, t in enumerate(texts) for i, x in items if words(x) and (s := score(x, t)) >= (0.5 if len(words(x)) > 2 else 1)}
+    want = {(d, i): s for d, t in enumerate(texts) for i, x in items if words(x) and (s := score(x, t)) >= (decontam.SCORE if len(words(x)) > 2 else 1)}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
     clean = {r.doc_id for r in decontam.decontaminate(docs, bench).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in want}
@@ -236,4 +236,4 @@ def test_seeds_cover_every_window():
     grams = [str(i) for i in range(30)]
     count = {g: int(g) * 7 % 11 for g in grams}
     seeds = decontam.seeds_of(grams, count)
-    assert all(set(grams[i : i + 8]) & seeds for i in range(23)) and decontam.seeds_of([], {}) == set()
+    assert all(set(grams[i : i + decontam.WINDOW]) & seeds for i in range(31 - decontam.WINDOW)) and decontam.seeds_of([], {}) == set()
