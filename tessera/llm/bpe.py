@@ -13,14 +13,15 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Characters below U+0250 without controls, no-break space and dotted capital I, and general punctuation.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧]*")
-KEEP = 400_000  # chunks kept; the cache starts anew when full
-KEEP_WORDS = 700_000  # words (pieces of chunks) kept
+KEEP = 600_000  # chunks kept; the cache starts anew when full
+KEEP_WORDS = 1_000_000  # words (pieces of chunks) kept
 LONG = 64  # characters beyond which neither is kept
 
 
@@ -40,6 +41,7 @@ class Encoder:
         self.cached = steps == ["NFC", "Replace", "Lowercase"]
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.long: list[str] = []
         if self.cached:
             import regex
 
@@ -55,32 +57,41 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        other = [i for i, t in enumerate(texts) if not self.plain(t)]
+        chunks = [t.lower().split() if self.plain(t) else None for t in texts]
+        self._learn(set().union(*[c for c in chunks if c]))
+        get, other = self.kept.__getitem__, [i for i, c in enumerate(chunks) if c is None]
+        out = [b"".join(map(get, c)) if c else b"" for c in chunks]
         for i, ids in zip(other, self.whole([texts[i] for i in other]), strict=True):
             out[i] = ids
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                chunks = text.lower().split()
-                try:
-                    out[i] = b"".join(map(self.kept.__getitem__, chunks))
-                except KeyError:
-                    out[i] = self._learn(chunks)
+        for c in self.long:
+            del self.kept[c]
+        self.long = []
         return out
 
-    def _learn(self, chunks: list[str]) -> bytes:
+    def _cut(self, chunk: str) -> list[str]:
+        """The split pattern's words; letters, and letters before one mark, need no pattern."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.split(chunk)
+
+    def _learn(self, chunks: set[str]) -> None:
         if len(self.kept) > KEEP:
             self.kept = {}
         if len(self.words) > KEEP_WORDS:
             self.words = {}
-        cut = {c: self.split(c) for c in set(chunks) if c not in self.kept}
-        new = list({w for ws in cut.values() for w in ws if w not in self.words})
-        ids = dict(zip(new, self.whole(new), strict=True))
-        self.words.update((w, x) for w, x in ids.items() if len(w) <= LONG)
-        words = self.words
-        found = {c: b"".join([ids[w] if w in ids else words[w] for w in ws]) for c, ws in cut.items()}
-        self.kept.update((c, x) for c, x in found.items() if len(c) <= LONG)
-        return b"".join([found[c] if c in found else self.kept[c] for c in chunks])
+        new = chunks.difference(self.kept)
+        cut = {c: self._cut(c) for c in new}
+        words = list(set(chain.from_iterable(cut.values())).difference(self.words))
+        self.words.update(zip(words, self.whole(words), strict=True))
+        get = self.words.__getitem__
+        self.kept.update((c, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for c, ws in cut.items())
+        # what is long is not kept: words go now, chunks after the texts that need them
+        for w in words:
+            if len(w) > LONG:
+                del self.words[w]
+        self.long = [c for c in new if len(c) > LONG]
 
 
 @lru_cache(maxsize=4)
