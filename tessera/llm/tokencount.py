@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import KEEP, KEEP_WORDS, LONG, Encoder
 
+KEEP_CHUNKS = 1_000_000
 COUNT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 END = "</w>"
 
@@ -52,17 +53,22 @@ class Prefixes:
         self.inner = {t for t in inner if self._merge(list(t)) == [t]}
         self.final = {t for t in ends if self._merge(list(t[:-1]) + [t[-1:] + END]) == [t + END]}
         self.most = max(map(len, self.inner | self.final))
-        self.fits: dict[tuple[str, str, bool], bool] = {}
+        self.fits: dict[bool, dict[tuple[str, str], bool]] = {False: {}, True: {}}
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _merge(self, parts: list[str]) -> list[str]:
-        get = self.rank.get
+        get, never = self.rank.get, 1 << 60
         while len(parts) > 1:
-            best = min(((get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if best[0] == 1 << 60:
+            ranks = [get(p, never) for p in zip(parts, parts[1:], strict=False)]
+            best = min(ranks)
+            if best == never:
                 break
-            a, b = parts[best[1]], parts[best[1] + 1]
+            at = ranks.index(best)
+            a, b = parts[at], parts[at + 1]
+            if ranks.count(best) == 1:
+                parts[at : at + 2] = [a + b]
+                continue
             out, i = [], 0
             while i < len(parts):
                 if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
@@ -75,12 +81,10 @@ class Prefixes:
         return parts
 
     def _fit(self, a: str, b: str, ends: bool) -> bool:
-        key = (a, b, ends)
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * KEEP:
-                self.fits = {}
-            letters = list(a) + (list(b[:-1]) + [b[-1] + END] if ends else list(b))
-            known = self.fits[key] = self._merge(letters) == [a, b + END if ends else b]
+        if len(self.fits[ends]) > 2 * KEEP:
+            self.fits[ends].clear()
+        letters = list(a) + (list(b[:-1]) + [b[-1] + END] if ends else list(b))
+        known = self.fits[ends][a, b] = self._merge(letters) == [a, b + END if ends else b]
         return known
 
     def word(self, s: str) -> list[int]:
@@ -89,20 +93,33 @@ class Prefixes:
         last: list[str] = [""] * (n + 1)
         count, out = [0] * (n + 1), []
         inner, final, fit, most = self.inner, self.final, self._fit, self.most
+        fits_inner, fits_final = self.fits[False].get, self.fits[True].get
         for j in range(1, n + 1):
-            for i in range(max(0, j - most), j):
+            whole, part = True, j < n  # which last tokens are still sought
+            for i in range(j - most if j > most else 0, j):
                 t = s[i:j]
-                if t in final and (i == 0 or fit(last[i], t, True)):
-                    out.append(count[i] + 1)
-                    break
-            else:
-                raise ValueError(f"no token ends {s[:j]!r}")
-            if j < n:
-                for i in range(max(0, j - most), j):
-                    t = s[i:j]
-                    if t in inner and (i == 0 or fit(last[i], t, False)):
+                if whole and t in final:
+                    if i:
+                        ok = fits_final((last[i], t))
+                        if ok is None:
+                            ok = fit(last[i], t, True)
+                    if not i or ok:
+                        out.append(count[i] + 1)
+                        if not part:
+                            break
+                        whole = False
+                if part and t in inner:
+                    if i:
+                        ok = fits_inner((last[i], t))
+                        if ok is None:
+                            ok = fit(last[i], t, False)
+                    if not i or ok:
                         last[j], count[j] = t, count[i] + 1
-                        break
+                        if not whole:
+                            break
+                        part = False
+            if len(out) < j:
+                raise ValueError(f"no token ends {s[:j]!r}")
         return out
 
     def chunk(self, chunk: str) -> list[int]:
@@ -110,7 +127,7 @@ class Prefixes:
         out, before = [], 0
         for word in self.split.findall(chunk):
             # a prefix may cut a contraction ('re into ' and r), so its own prefixes are split again
-            pieces = [self.split.findall(word[:j]) for j in range(1, len(word) + 1)] if word[0] == "'" else None
+            pieces = [self.split.findall(word[:j]) for j in range(1, len(word) + 1)] if word[0] == "'" else ()
             if pieces:
                 out += [before + sum(self.word(self._bytes(w))[-1] for w in p) for p in pieces]
             else:
@@ -132,17 +149,9 @@ class Prefixes:
     def _bytes(self, word: str) -> str:
         return "".join([self.letters[b] for b in word.encode()])
 
-    def counts(self, chunk: str):
-        """As chunk(), kept, as bytes of unsigned 32-bit numbers."""
-        got = self.kept.get(chunk)
-        if got is None:
-            import numpy as np
-
-            got = np.asarray(self.chunk(chunk), dtype="<u4").tobytes()
-            if len(chunk) <= LONG:
-                if len(self.kept) > KEEP:
-                    self.kept = {}
-                self.kept[chunk] = got
+    def counts(self, chunk: str) -> bytes:
+        """As chunk(), for chunks of at most LONG characters, kept; a byte holds each count."""
+        got = self.kept[chunk] = bytes(self.chunk(chunk))
         return got
 
     def table(self, text: str):
@@ -153,13 +162,21 @@ class Prefixes:
             return self._slow(text)
         low = text.lower()
         chunks = low.split()
-        get, kept = self.counts, self.kept
-        parts = [kept.get(c) or get(c) for c in chunks]
-        inner = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int64)
         out = np.zeros(len(text) + 1, dtype=np.int64)
         if not chunks:
             return out
+        if len(self.kept) > KEEP_CHUNKS:
+            self.kept = {}
         lens = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        if lens.max() > LONG:
+            inner = np.concatenate([np.asarray(self.chunk(c), dtype=np.int64) for c in chunks])
+        else:
+            try:
+                parts = b"".join(map(self.kept.__getitem__, chunks))
+            except KeyError:
+                get, kept = self.counts, self.kept
+                parts = b"".join([kept.get(c) or get(c) for c in chunks])
+            inner = np.frombuffer(parts, dtype="u1").astype(np.int64)
         stops = np.cumsum(lens)
         sums = np.cumsum(inner[stops - 1])
         inner += np.repeat(sums - inner[stops - 1], lens)
