@@ -8,11 +8,12 @@ Two sets agree in a coordinate with probability equal to their weighted Jaccard
 k ln k + 2k darts are looked at per text, whatever its length; should a coordinate stay empty, the next band
 of ranks is opened.
 
-Bands of five coordinates bring texts together.  Within a bucket no pairs are listed: a pivot (the member
-whose buckets are fullest, so the likely centre of its group) is compared with the others, links are checked
-exactly on the texts, and components are merged.  Buckets whose members still lie in several components go
-to another round with four times as many pivots, until every pair of a bucket is either compared or known to
-be connected: no link is given up.
+Bands of five coordinates bring texts together.  Within a bucket no pairs are listed.  A pivot (the member whose
+buckets are fullest, so the likely centre of its group) is compared with the others on their texts, and links are
+merged to components.  What has one pivot is one group from there on.  Groups that lie in one component are done;
+in the others every two members of different components are still compared, in blocks of bounded size: a
+task gets two blocks, counts all their shared elements at once, and gives only links that join components.  So no
+link between texts that share a band is given up, and no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .shared import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, WIDTH = 24, 5
+BLOCK = 128  # members in a block
 K = BANDS * WIDTH
 WORDS = re.compile(r"\w+")
 KEEP_WORDS = 500_000
@@ -88,18 +90,35 @@ class Shingles:
         return elements, counts.astype(np.float64)
 
 
-def similarity(a, b) -> float:
-    """Weighted Jaccard similarity of two weighted sets with sorted elements."""
+    def expanded(self, text: str):
+        """The weighted set as a plain one: an element for each copy, sorted."""
+        import numpy as np
+
+        elements, counts = self.weighted(text)
+        n = counts.astype(np.int64)
+        if not len(n) or n.max() == 1:
+            return elements
+        copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        with np.errstate(over="ignore"):
+            out = np.repeat(elements, n) + copy.astype(np.uint64) * np.uint64(GOLD)
+        return np.sort(out)
+
+
+def inside(x, y):
+    """Which elements of the sorted ``x`` are in the sorted ``y``."""
     import numpy as np
 
-    (x, u), (y, v) = a, b
-    if not len(x) or not len(y):
-        return 0.0
-    at = np.searchsorted(x, y)
-    at[at == len(x)] = 0
-    same = x[at] == y
-    shared = np.minimum(u[at[same]], v[same]).sum()
-    return float(shared / (u.sum() + v.sum() - shared))
+    if not len(y):
+        return np.zeros(len(x), dtype=bool)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x
+
+
+def similarity(x, y) -> float:
+    """Jaccard similarity of two plain sets."""
+    shared = int(inside(x, y).sum())
+    return shared / (len(x) + len(y) - shared) if shared else 0.0
 
 
 class Darts:
@@ -108,65 +127,75 @@ class Darts:
     def __init__(self, k: int = K):
         import numpy as np
 
-        self.k = k
+        self.k, self.np = k, np
         self.need = k * (math.log(k) + 2)  # darts that fill all coordinates with high probability
         self.first = self.need / 2**15  # the lowest band of ranks; each next one doubles what is open
-        self.cdf: dict[float, object] = {}
-        self.np = np
+        n = np.arange(64)
+        self.low = np.where(n == 0, 0.0, 2.0 ** (n - 1))  # of cells of weight, and of bands times first
+        self.wide = np.where(n == 0, 1.0, self.low)
+        step = np.maximum(n - 1, 0)
+        self.power = step[:, None] + step[None, :]  # a region holds first * 2 ** power darts on average
+        self.none = np.exp(-self.first * 2.0**self.power)
+        with np.errstate(over="ignore"):
+            self.seed = (n.astype(np.uint64)[:, None] * np.uint64(64) + n.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(GOLD)
+        self.cdf: dict[int, object] = {}
 
-    def _poisson(self, mean: float):
-        if mean not in self.cdf:
+    def _poisson(self, power: int):
+        if power not in self.cdf:
+            mean = self.first * 2.0**power
             top = int(mean + 12 * math.sqrt(mean) + 24)
             logs = [i * math.log(mean) - mean - math.lgamma(i + 1) for i in range(top)]
-            self.cdf[mean] = self.np.cumsum(self.np.exp(logs))
-        return self.cdf[mean]
+            self.cdf[power] = self.np.cumsum(self.np.exp(logs))
+        return self.cdf[power]
+
+    def _throw(self, x, w, cell, first: int, last: int):
+        """(coordinate, rank, id) of the darts below the elements' weights in bands ``first`` to ``last``.
 
-    def _throw(self, elements, weights, cell: int, band: int):
-        """(coordinate, rank, id) of the darts below the elements' weights in one column of regions."""
+        ``x``, ``w`` and ``cell`` have an entry for each element and cell of weight that it reaches.
+        """
         np = self.np
-        low, wide = (0.0, 1.0) if cell == 0 else (2.0 ** (cell - 1), 2.0 ** (cell - 1))
-        base, tall = (0.0, self.first) if band == 0 else (self.first * 2.0 ** (band - 1), self.first * 2.0 ** (band - 1))
-        on = weights > low
-        x, w = elements[on], weights[on]
-        seed = (GOLD * (cell * 64 + band + 1)) & 0xFFFFFFFFFFFFFFFF
-        h = _mix(x + np.uint64(seed))
-        n = np.searchsorted(self._poisson(wide * tall), _unit(h))
-        hit = np.flatnonzero(n)
-        if not len(hit):
-            return None
-        n = n[hit]
-        own = np.repeat(hit, n)
-        j = np.arange(len(own), dtype=np.uint64) - np.repeat(np.cumsum(n) - n, n).astype(np.uint64)
-        dart = _mix(h[own] + (j + np.uint64(1)) * np.uint64(GOLD))
+        h = _mix(x[:, None] + self.seed[cell, first : last + 1])
+        u = _unit(h)
+        row, col = np.nonzero(u > self.none[cell, first : last + 1])
+        u, h, c, b = u[row, col], h[row, col], cell[row], col + first
+        n = np.ones(len(row), dtype=np.int64)
+        power = self.power[c, b]
+        for p in np.unique(power):
+            on = power == p
+            n[on] = np.searchsorted(self._poisson(int(p)), u[on])
+        own = np.repeat(np.arange(len(row)), n)
+        j = np.arange(1, len(own) + 1, dtype=np.uint64) - np.repeat(np.cumsum(n) - n, n).astype(np.uint64)
+        dart = _mix(h[own] + j * np.uint64(GOLD))
         a = _mix(dart + np.uint64(1))
-        below = low + wide * _unit(a) < w[own]
-        dart, a = dart[below], a[below]
-        b = _mix(a + np.uint64(GOLD))
-        return (_mix(b + np.uint64(GOLD)) % np.uint64(self.k)).astype(np.int64), base + tall * _unit(b), dart
+        below = self.low[c][own] + self.wide[c][own] * _unit(a) < w[row][own]
+        dart, a, b = dart[below], a[below], b[own][below]
+        r = _mix(a + np.uint64(GOLD))
+        rank = self.first * (self.low[b] + self.wide[b] * _unit(r))
+        return (_mix(r + np.uint64(GOLD)) % np.uint64(self.k)).astype(np.int64), rank, dart
 
     def signature(self, elements, weights):
         np = self.np
         best = np.full(self.k, np.inf)
         out = np.zeros(self.k, dtype=np.uint64)
-        cells = max(1, math.ceil(math.log2(weights.max())) + 1)
-        opened = max(0, math.ceil(math.log2(self.need / (self.first * weights.sum()))))
-        band = 0
+        reach = 1 + np.ceil(np.log2(np.maximum(weights, 1.0))).astype(np.int64)
+        own = np.repeat(np.arange(len(weights)), reach)
+        cell = np.arange(len(own)) - np.repeat(np.cumsum(reach) - reach, reach)
+        x, w = elements[own], weights[own]
+        first, last = 0, max(0, math.ceil(math.log2(self.need / (self.first * weights.sum()))))
         with np.errstate(over="ignore"):
             while True:
-                got = [t for b in range(band, opened + 1) for c in range(cells) if (t := self._throw(elements, weights, c, b)) is not None]
-                if got:
-                    at, rank, dart = (np.concatenate(p) for p in zip(*got, strict=True))
-                    order = np.lexsort((dart, rank))[::-1]  # the lowest rank is written last
-                    at, rank, dart = at[order], rank[order], dart[order]
-                    low = np.full(self.k, np.inf)
-                    low[at] = rank
-                    ids = np.zeros(self.k, dtype=np.uint64)
-                    ids[at] = dart
-                    new = low < best
-                    best[new], out[new] = low[new], ids[new]
+                at, rank, dart = self._throw(x, w, cell, first, last)
+                order = np.argsort(-rank)  # the lowest rank is written last
+                at, rank, dart = at[order], rank[order], dart[order]
+                low = np.full(self.k, np.inf)
+                low[at] = rank
+                ids = np.zeros(self.k, dtype=np.uint64)
+                ids[at] = dart
+                new = low < best
+                best[new], out[new] = low[new], ids[new]
                 if np.isfinite(best).all():
                     return out
-                band = opened = opened + 1
+                first = last = last + 1
 
     def bands(self, signature, bands: int = BANDS):
         """A 64-bit key for each band of coordinates, different between bands."""
@@ -199,6 +228,8 @@ def _sign(batches: Iterator) -> Iterator:
 
 
 def _verify(similar: float):
+    """Of pairs (a, b) with their texts those that are similar."""
+
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -206,19 +237,73 @@ def _verify(similar: float):
 
         def of(node, text):
             if node not in kept:
-                if len(kept) >= 256:
+                if len(kept) >= 128:
                     kept.clear()
-                kept[node] = cut.weighted(text)
+                kept[node] = cut.expanded(text.as_py())
             return kept[node]
 
         for batch in batches:
             a, b, ta, tb = batch.columns
-            keep = [similarity(of(a[i].as_py(), ta[i].as_py()), of(b[i].as_py(), tb[i].as_py())) >= similar for i in range(batch.num_rows)]
+            keep = [similarity(of(a[i].as_py(), ta[i]), of(b[i].as_py(), tb[i])) >= similar for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
+def _between(similar: float):
+    """Links (a, b) between two blocks of (node, comp, text) that join different components."""
+
+    def between(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        cut, kept = _tools()[0], {}
+
+        def block(rows):
+            out = []
+            for node, comp, text in zip(*(rows.field(i) for i in range(3)), strict=True):
+                node = node.as_py()
+                if node not in kept:
+                    if len(kept) >= 1024:
+                        kept.clear()
+                    kept[node] = cut.expanded(text.as_py())
+                out.append((node, comp.as_py(), kept[node]))
+            return out
+
+        def matrix(rows, common):
+            m = np.zeros((len(rows), len(common)), dtype=np.float32)
+            for line, (_, _, x) in zip(m, rows, strict=True):
+                at = np.searchsorted(common, x)
+                at[at == len(common)] = 0
+                line[at[common[at] == x]] = 1
+            return m
+
+        for batch in batches:
+            ends: tuple[list, list] = [], []
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = block(left.values), block(right.values)
+                common = np.intersect1d(*(np.unique(np.concatenate([x for _, _, x in r])) for r in (a, b)), assume_unique=True)
+                if not len(common):
+                    continue
+                shared = matrix(a, common) @ matrix(b, common).T
+                sizes = [np.array([len(x) for _, _, x in r]) for r in (a, b)]
+                found = shared / (sizes[0][:, None] + sizes[1][None, :] - shared) >= similar - 1e-9
+                up: dict[bytes, bytes] = {}
+                for i, j in zip(*np.nonzero(found), strict=True):
+                    p, q = a[i][1], b[j][1]
+                    while p in up:
+                        p = up[p]
+                    while q in up:
+                        q = up[q]
+                    if p != q:
+                        up[p] = q
+                        ends[0].append(a[i][0])
+                        ends[1].append(b[j][0])
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], names=["a", "b"])
+
+    return between
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of its component for each node of ``edges`` (a, b).
 
@@ -236,6 +321,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "comp")
 
 
+def _blocks(groups: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(left, right): pairs of blocks of (node, comp, text) that hold a group's members of different components.
+
+    A component of many members has blocks of its own, which need no comparison with each other; members of
+    small ones share blocks.  Groups in one component are left out, and of equal groups all but one.
+    """
+    groups = materialize(groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "dd_groups")
+    parts = materialize(groups.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")), "dd_parts")
+    few = F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0))
+    live = parts.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), few.alias("few")).filter("many > 1")
+    live = materialize(live.groupBy("n", "x").agg(F.min(F.struct("h", "few")).alias("h")).select("h.h", "h.few"), "dd_live")
+    placed = groups.join(live, "h").join(parts.select("h", "comp", F.col("n").alias("own")), ["h", "comp"])
+    large = F.col("own") >= BLOCK
+    slot = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("few") / BLOCK)))
+    placed = placed.select("h", "node", "comp", F.when(large, F.col("comp")).alias("alone"), slot.alias("slot")).join(texts, "node")
+    blocks = placed.groupBy("h", "alone", "slot").agg(F.collect_list(F.struct("node", "comp", "text")).alias("rows"))
+    blocks = materialize(blocks.withColumn("b", F.xxhash64("h", "alone", "slot")), "dd_blocks")
+    names = blocks.select("h", "alone", "b")
+    one, two = names.select("h", F.col("alone").alias("a1"), F.col("b").alias("b1")), names.select("h", F.col("alone").alias("a2"), F.col("b").alias("b2"))
+    # pairs of blocks, not of members
+    pairs = materialize(one.join(two, "h").filter("b1 <= b2 AND NOT coalesce(a1 = a2, false)").select("b1", "b2"), "dd_block_pairs")
+    left = blocks.select(F.col("b").alias("b1"), F.col("rows").alias("left"))
+    return pairs.join(left, "b1").join(blocks.select(F.col("b").alias("b2"), F.col("rows").alias("right")), "b2").select("left", "right")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(documents, nodes).
 
@@ -255,41 +365,24 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     keyed = nodes.select("node", F.explode("bands").alias("h"))
     full = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "dd_buckets")
     met = keyed.join(full, "h").groupBy("node").agg(F.collect_list("h").alias("hs"), F.sum("c").alias("pop"))
-    members = materialize(met.select(F.explode("hs").alias("h"), "node", "pop", F.col("node").alias("comp")), "dd_members")
+    members = materialize(met.select(F.explode("hs").alias("h"), "node", "pop"), "dd_members")
     found = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = rows.join(found.withColumnRenamed("node", "_n"), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     texts = materialize(texts.dropDuplicates(["node"]), "dd_texts")
-    comps, tested, pivots_each, turn = None, None, 1, 0
-    while members.limit(1).count():
-        pivots = members.groupBy("h", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots_each)).alias("slot")).agg(F.max(F.struct("pop", "node", "comp")).alias("p"))
-        pivots = materialize(pivots.select("h", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pcomp")), "dd_pivots")
-        pairs = members.join(pivots, "h").filter("comp <> pcomp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "dd_pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        links = materialize(with_b.mapInArrow(_verify(similar), "a binary, b binary"), "dd_links")
-        if comps is None:
-            comps = components(links)
-        else:
-            for end in ("a", "b"):
-                links = links.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-            merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
-            moved = merged.withColumnRenamed("node", "_was").withColumnRenamed("comp", "_now")
-            known = comps.join(moved, F.col("comp") == F.col("_was"), "left").select("node", F.coalesce("_now", "comp").alias("comp"))
-            fresh = merged.join(comps, "node", "left_anti")
-            comps = materialize(known.union(fresh), "dd_comps")
-        left = members.join(pivots.select("h", F.col("pivot").alias("node")), ["h", "node"], "left_anti").select("h", "node", "pop")
-        left = left.join(comps, "node", "left").select("h", "node", "pop", F.coalesce("comp", "node").alias("comp"))
-        left = materialize(left, "dd_left")
-        # a bucket stays while its members lie in several components
-        mixed = materialize(left.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h"), "dd_mixed")
-        members = materialize(left.join(mixed, "h"), "dd_members")
-        pivots_each, turn = pivots_each * 4, turn + 1
+    with_text = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    pivots = members.groupBy("h").agg(F.max(F.struct("pop", "node")).alias("p")).select("h", F.col("p.node").alias("a"))
+    pairs = members.join(materialize(pivots, "dd_pivots"), "h").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    pairs = materialize(pairs, "dd_pairs")
+    with_texts = pairs.join(with_text("a"), "a").join(with_text("b"), "b").select("a", "b", "text_a", "text_b")
+    links = materialize(with_texts.mapInArrow(_verify(similar), "a binary, b binary"), "dd_links")
+    comps = components(links)
+    # all bands with one pivot are one group from here on; pivots have met their groups
+    rest = pairs.select(F.xxhash64("a").alias("h"), F.col("b").alias("node"))
+    more = materialize(_blocks(rest, comps, texts).mapInArrow(_between(similar), "a binary, b binary"), "dd_more")
+    if more.limit(1).count():
+        comps = components(links.union(more))
     named = nodes.select("node", "rep")
-    named = named.withColumn("comp", F.col("node")) if comps is None else named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("n"), F.col("rep").alias("r"), F.col("node").alias("d"))).alias("m"))
     best = best.select(F.col("comp").alias("_c"), F.col("m.d").alias("class_node"), F.col("m.r").alias("class_id"))
     nodes = materialize(named.join(best, F.col("comp") == F.col("_c")).drop("_c"), "dd_classes")
