@@ -121,20 +121,30 @@ class Engine:
 
     # indexes
 
-    def backfill(self, name: str, progress: Callable[[dict], None] | None = None) -> list[str]:
-        """Write the projections that are missing; those that are there stay.  Returns the new ones' names."""
+    def backfill(self, name: str, progress: Callable[[dict], None] | None = None, only: str | None = None, chunk_bounds: list | None = None, start_from=None) -> list[str]:
+        """Write the projections that are missing; those that are there stay.  Returns the new ones' names.
+
+        ``chunk_bounds`` cuts the work at values of the first primary key column, with an event after each cut;
+        a run that broke off goes on with ``start_from`` at the last event's ``next``.
+        """
         spec, done = self.specs[name], []
+        tell = progress or (lambda event: None)
+        key = F.col(spec.primary_key[0])
         for i in spec.indexes:
-            if i.name in self.projections[name]:
+            if i.name in self.projections[name] or (only is not None and i.name != only):
                 continue
-            if progress:
-                progress({"event": "started", "index": i.name})
-            path = f"{self.root}/index/{name}/{i.name}"
-            indexing.write(self.table(name), spec, i, path)
+            tell({"event": "started", "index": i.name})
+            path, rows = f"{self.root}/index/{name}/{i.name}", self.table(name)
+            cuts = [start_from, *[b for b in chunk_bounds or [] if start_from is None or b > start_from], None]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = rows if lo is None else rows.filter(key >= F.lit(lo))
+                part = part if hi is None else part.filter(key < F.lit(hi))
+                indexing.write(part, spec, i, path, "overwrite" if lo is None else "append")
+                if hi is not None:
+                    tell({"event": "progress", "index": i.name, "next": hi})
             self.projections[name][i.name] = self.spark.read.parquet(path)
             done.append(i.name)
-            if progress:
-                progress({"event": "completed", "index": i.name, "rows": self.projections[name][i.name].count()})
+            tell({"event": "completed", "index": i.name, "rows": self.projections[name][i.name].count()} if progress else {})
         return done
 
     def evolve(self, name: str, indexes) -> None:

@@ -45,8 +45,8 @@ def project(df: DataFrame, table: TableSpec, index: IndexSpec) -> DataFrame:
     return coded.repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
 
 
-def write(df: DataFrame, table: TableSpec, index: IndexSpec, path: str) -> None:
-    project(df, table, index).write.mode("overwrite").parquet(path)
+def write(df: DataFrame, table: TableSpec, index: IndexSpec, path: str, mode: str = "overwrite") -> None:
+    project(df, table, index).write.mode(mode).parquet(path)
 
 
 @dataclass(frozen=True)

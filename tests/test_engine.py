@@ -41,6 +41,22 @@ def test_insert_query_overwrite(spark, engine):
         engine.sql("SELECT 1", min_seq=9)
 
 
+def test_backfill_in_chunks_and_resumed(spark, engine):
+    engine.insert({"orders_kv": spark.createDataFrame(ROWS, [c.name for c in ORDERS.columns])})
+    events = []
+
+    def stop_after_first(event):
+        events.append(event)
+        if event.get("next") == 2:
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        engine.backfill("orders_kv", stop_after_first, chunk_bounds=[2, 4])
+    assert engine.backfill("orders_kv", events.append, chunk_bounds=[2, 4], start_from=events[-1]["next"]) == ["region_customer"]
+    assert [e["event"] for e in events] == ["started", "progress", "started", "progress", "completed"] and events[-1]["rows"] == 5
+    assert engine.scan("orders_kv", [Constraint("region", "=", "eu")], ["order_id"]).count() == 2
+
+
 def test_rejected_rows(spark, engine):
     w = BatchWriter(engine)
     with pytest.raises(SpecError):
