@@ -37,7 +37,8 @@ R.sql("a6_filter", "events", "SELECT user_id, count(*) FILTER (WHERE event_type
 R.sql("a7_case_multi_when", "orders", "SELECT o_custkey, count(CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'P' THEN 1 END) AS open, CAST(sum(CASE o_orderstatus WHEN 'F' THEN o_orderkey END) AS BIGINT) AS f FROM orders GROUP BY o_custkey")
 R.sql("a8_sum_case_one", "orders", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS p, CAST(sum(CASE WHEN o_orderstatus = 'X' THEN 1 END) AS BIGINT) AS none FROM orders GROUP BY o_orderpriority")
 R.sql("a9_group_by", "lineitem", f"SELECT l_returnflag, l_linestatus, count(*) AS n, {_DEC.format('l_quantity')} AS q, {_DEC.format('l_extendedprice')} AS p FROM lineitem GROUP BY l_returnflag, l_linestatus")
-R.sql("a10_lower_day", "events", "SELECT lower(event_type) AS kind, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY lower(event_type), date_trunc('day', ts)")
+_DAY = "SELECT lower(event_type) AS kind, {0} AS day, count(*) AS n FROM events GROUP BY lower(event_type), {0}"
+R.sql("a10_lower_day", "events", _DAY.format("CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ)"), _DAY.format("date_trunc('day', ts)"))
 R.sql("a10_computed_keys", "lineitem", "SELECT CAST(l_quantity AS BIGINT) % 10 AS k, l_linenumber * 2 + 1 AS odd, count(*) AS n FROM lineitem GROUP BY CAST(l_quantity AS BIGINT) % 10, l_linenumber * 2 + 1")
 
 

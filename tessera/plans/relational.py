@@ -33,8 +33,8 @@ _W = "PARTITION BY user_id ORDER BY event_id"
 R.sql(
     "w1_window_functions",
     "events",
-    f"""SELECT event_id, user_id, row_number() OVER ({_W}) AS rn, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk,
- dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dr, ntile(4) OVER ({_W}) AS nt,
+    f"""SELECT event_id, user_id, CAST(row_number() OVER ({_W}) AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS rk,
+ CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS dr, CAST(ntile(4) OVER ({_W}) AS BIGINT) AS nt,
  lag(event_id) OVER ({_W}) AS prev, lead(event_id, 2) OVER ({_W}) AS next2,
  first_value(event_id) OVER ({_W}) AS first_id, nth_value(event_id, 2) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_id,
  last_value(event_id) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM events""",

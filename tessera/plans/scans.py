@@ -28,7 +28,7 @@ def s1_point_get(spark, d):
     return table(spark, d, "orders").filter(Constraint("o_orderkey", "=", 42).to_column())
 
 
-@R.add("SELECT k.key AS o_orderkey, o.o_custkey, o.o_orderkey IS NOT NULL AS found FROM (VALUES (1), (7), (-5), (42), (999999999)) k(key) LEFT JOIN orders o ON o.o_orderkey = k.key")
+@R.add("SELECT k.key::BIGINT AS o_orderkey, o.o_custkey, o.o_orderkey IS NOT NULL AS found FROM (VALUES (1), (7), (-5), (42), (999999999)) k(key) LEFT JOIN orders o ON o.o_orderkey = k.key")
 def s2_get_many_with_missing(spark, d):
     keys = spark.createDataFrame([(k,) for k in (1, 7, -5, 42, 999999999)], "o_orderkey long")
     got = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(True).alias("found"))
@@ -105,7 +105,7 @@ def s14_insert_overwrites(spark, d):
     return e.sql("SELECT * FROM orders")
 
 
-@R.add("SELECT 1 AS seq, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 2, count(*) FROM orders WHERE o_orderkey % 2 <> 0")
+@R.add("SELECT 1::BIGINT AS seq, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 2, count(*) FROM orders WHERE o_orderkey % 2 <> 0")
 def s21_log_batches(spark, d):
     """Each batch of the log by its number."""
     e = Engine(spark, shared_dir(spark))

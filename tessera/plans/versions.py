@@ -55,7 +55,7 @@ def q1_watermark(spark, d):
     return log(spark, d).ops.agg(F.max("location").alias("location"))
 
 
-@R.add(f"SELECT k.key, l.location, l.value FROM (VALUES (1), (2), (3), (10), (50), (100000)) k(key) LEFT JOIN ({_LATEST.format(700)}) l ON l.key = k.key")
+@R.add(f"SELECT k.key::BIGINT AS key, l.location, l.value FROM (VALUES (1), (2), (3), (10), (50), (100000)) k(key) LEFT JOIN ({_LATEST.format(700)}) l ON l.key = k.key")
 def q2_query_many_at(spark, d):
     keys = spark.createDataFrame([(k,) for k in (1, 2, 3, 10, 50, 100000)], "key long")
     return log(spark, d).get_many_at(keys, 700)
@@ -87,7 +87,7 @@ def q6_key_range(spark, d):
     return entries.withColumn("has_more", F.lit(more))
 
 
-@R.add(f"SELECT r.pos, r.key, l.value IS NOT NULL AS hit, l.value FROM (VALUES (0, 5), (1, 2), (2, 77777), (3, 9)) r(pos, key) LEFT JOIN ({_LATEST.format(900)}) l ON l.key = r.key AND l.value IS NOT NULL")
+@R.add(f"SELECT r.pos, r.key::BIGINT AS key, l.value IS NOT NULL AS hit, l.value FROM (VALUES (0, 5), (1, 2), (2, 77777), (3, 9)) r(pos, key) LEFT JOIN ({_LATEST.format(900)}) l ON l.key = r.key AND l.value IS NOT NULL")
 def q7_multi_key_lookup(spark, d):
     asked = spark.createDataFrame([(0, 5), (1, 2), (2, 77777), (3, 9)], "pos int, key long")
     return asked.join(log(spark, d).active(900).select("key", "value"), "key", "left").select("pos", "key", F.col("value").isNotNull().alias("hit"), "value")
