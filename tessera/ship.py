@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tessera-")), "tessera.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(here):
             for n in names:
