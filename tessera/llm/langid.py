@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .worker import tool
+
 DIM_BITS = 12
 SAMPLE = 2400  # labelled documents that are fitted on, in all
 PREDICTED = "lang_pred string, score double"
@@ -70,28 +71,27 @@ class Features:
         return at.astype(np.uint16), (v / np.sqrt((v * v).sum())).astype(np.float32)
 
 
-@lru_cache(maxsize=1)
 def _features() -> Features:
-    """One for each worker process, which serves many tasks."""
-    return Features()
+    return tool("features", Features)
 
 
-def fit_svm(x, y, rounds: int = 300, penalty: float = 1e-4):
+def fit_svm(x, y, rounds: int = 200, penalty: float = 1e-4):
     """(w, b) of a linear SVM: hinge loss, class-balanced, averaged subgradient steps."""
     import numpy as np
 
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
+    y = y.astype(np.float32)  # all in single precision, else each product converts the whole matrix
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     sw, sb = w.copy(), 0.0
     for t in range(1, rounds + 1):
-        g = share * y * (y * (x @ w + b) < 1)
-        step = 8.0 / t**0.5
-        w = w * (1 - step * penalty) + step * (g @ x)
-        b += step * g.sum() * 0.1
+        g = share * y * (y * (x @ w + np.float32(b)) < 1)
+        step = np.float32(8.0 / t**0.5)
+        w = w * (1 - step * np.float32(penalty)) + step * (g @ x)
+        b += float(step * g.sum()) * 0.1
         if t > rounds // 2:
             sw, sb = sw + w, sb + b
     half = rounds - rounds // 2
-    return (sw / half).astype(np.float32), sb / half
+    return sw / np.float32(half), sb / half
 
 
 class Model:
