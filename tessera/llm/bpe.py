@@ -12,16 +12,17 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 from itertools import chain
 
+from .worker import tool
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Characters below U+0250 without controls, no-break space and dotted capital I, and general punctuation.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧]*")
 KEEP = 600_000  # chunks kept; the cache starts anew when full
-KEEP_WORDS = 1_000_000  # words (pieces of chunks) kept
+KEEP_WORDS = 800_000  # words (pieces of chunks) kept
 LONG = 64  # characters beyond which neither is kept
 
 
@@ -94,7 +95,5 @@ class Encoder:
         self.long = [c for c in new if len(c) > LONG]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, width: int = 2) -> Encoder:
-    """One for each worker process, which serves many tasks."""
-    return Encoder(path, width)
+    return tool(("encoder", path, width), lambda: Encoder(path, width))

@@ -21,12 +21,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize
+from .worker import tool
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, WIDTH = 24, 5
@@ -208,10 +208,8 @@ class Darts:
         return h.view(np.int64)
 
 
-@lru_cache(maxsize=1)
 def _tools() -> tuple[Shingles, Darts]:
-    """One of each for a worker process, which serves many tasks."""
-    return Shingles(), Darts()
+    return tool("shingles", lambda: (Shingles(), Darts()))
 
 
 def _sign(batches: Iterator) -> Iterator:

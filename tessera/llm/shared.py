@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "local_path", "materialize", "open_fs", "shared_dir", "small", "without"]
+__all__ = ["BROADCAST_ROWS", "lean_batches", "local_path", "materialize", "open_fs", "shared_dir", "small", "without"]
 
 #: Rows up to which a per-source or per-dimension table is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 100_000
 
 
+#: Bytes of an Arrow batch: texts are long, and a batch is held in several copies on both sides of a worker.
+BATCH_BYTES, BATCH_KEY = str(8 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, unless the session has a size of its own."""
+    if spark.conf.get(BATCH_KEY).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has few enough rows, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import local_path, materialize, open_fs, shared_dir
+from .shared import lean_batches, local_path, materialize, open_fs, shared_dir
 
 MANIFEST = "shard int, name string, width int, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -70,6 +70,7 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str | None = None, end_i
     of an id: 2 for vocabularies up to 65,536, else 4.  Extra columns are ignored.
     """
     spark = df.sparkSession
+    lean_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens"
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]

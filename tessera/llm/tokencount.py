@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEEP, KEEP_WORDS, LONG, Encoder
+from .bpe import LONG, Encoder
+from .worker import tool
 
-KEEP_CHUNKS = 1_000_000
+KEEP_CHUNKS, KEEP_WORDS, KEEP_FITS = 1_000_000, 800_000, 600_000
 COUNT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 END = "</w>"
 
@@ -81,7 +81,7 @@ class Prefixes:
         return parts
 
     def _fit(self, a: str, b: str, ends: bool) -> bool:
-        if len(self.fits[ends]) > 2 * KEEP:
+        if len(self.fits[ends]) > KEEP_FITS:
             self.fits[ends].clear()
         letters = list(a) + (list(b[:-1]) + [b[-1] + END] if ends else list(b))
         known = self.fits[ends][a, b] = self._merge(letters) == [a, b + END if ends else b]
@@ -214,10 +214,8 @@ class Prefixes:
         return int(self.table(text)[-1]) if self.enc.plain(text) else len(self.enc.whole([text])[0]) // 2
 
 
-@lru_cache(maxsize=2)
 def prefixes(path: str) -> Prefixes:
-    """One for each worker process, which serves many tasks."""
-    return Prefixes(path)
+    return tool(("prefixes", path), lambda: Prefixes(path))
 
 
 def fits(table, budget: int) -> int:
