@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find places, Smith-Waterman alignment scores them.
 
 Pass one counts every three-word run of the items over all documents.  The seeds are, of every four
-neighbouring runs of an item, the one that the corpus has least often: each part of an item keeps a seed,
-however common the passage is, and the seeds are as rare as they can be.  Pass two joins passages to items
-by these seeds, in one automaton, and aligns each item with the words around its seeds.  The score is the
+neighbouring runs of an item, the one that the corpus has least often of those that it has: each part of an
+item keeps a seed, however common the passage is, and the seeds are as rare as they can be.  Pass two joins
+passages to items by these seeds, in one automaton, and aligns each item with the words around its seeds.
+An edited copy beside a whole one may hold only runs that are not the rarest, so places where a document has
+other runs of an item are aligned too, unless they have too few of its words for the least score.  The score is the
 best local alignment's (match 2, mismatch and gap -1) as a share of the item's own; edited and paraphrased
 copies lose a little for each edit.
 """
@@ -36,9 +38,10 @@ def grams_of(words: list[str], n: int = GRAM) -> list[str]:
 
 
 def seeds_of(grams: list[str], count: dict[str, int], window: int = WINDOW) -> set[str]:
-    """The rarest run (first in order of letters if equal) of every ``window`` neighbouring runs."""
-    key = lambda g: (count.get(g, 0), g)
-    return {min(grams[i : i + window], key=key) for i in range(max(1, len(grams) - window + 1))} if grams else set()
+    """The rarest run (first in order of letters if equal) of those that occur in every ``window`` neighbouring runs."""
+    key = lambda g: (count[g], g)
+    near = ([g for g in grams[i : i + window] if count.get(g, 0)] for i in range(max(1, len(grams) - window + 1)))
+    return {min(on, key=key) for on in near if on}
 
 
 def align(item, passage) -> tuple[int, int, int]:
@@ -97,12 +100,14 @@ def _counter(grams: list[str]):
     return count
 
 
-def _finder(items: list[tuple[int, list[str]]], seeds: list[str], owners: list[list[int]], least: float):
+def _finder(items: list[tuple[int, list[str]]], runs: list[str], owners: list[list[tuple[int, bool]]], least: float):
+    """``owners``: of each run, the items that have it, and if it is a seed of the item."""
+
     def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        auto = _automaton(seeds)
+        auto = _automaton(runs)
         number: dict[str, int] = {}
         coded = [np.array([number.setdefault(w, len(number)) for w in ws]) for _, ws in items]
         for batch in batches:
@@ -110,10 +115,11 @@ def _finder(items: list[tuple[int, list[str]]], seeds: list[str], owners: list[l
             for doc, t in zip(batch.column(0), batch.column(1), strict=True):
                 words = words_of(t.as_py())
                 line = f" {' '.join(words)} "
-                hits: dict[int, list[int]] = {}
-                for end, seed in auto.iter(line):
-                    for item in owners[seed]:
-                        hits.setdefault(item, []).append(end)
+                hits: dict[int, dict[int, bool]] = {}
+                for end, run in auto.iter(line):
+                    for item, seed in owners[run]:
+                        ends = hits.setdefault(item, {})
+                        ends[end] = seed or ends.get(end, False)
                 if not hits:
                     continue
                 # the word that a position of the line is in
@@ -122,11 +128,15 @@ def _finder(items: list[tuple[int, list[str]]], seeds: list[str], owners: list[l
                 for item, ends in hits.items():
                     own = coded[item]
                     reach = 2 * len(own) + GRAM
-                    at = np.searchsorted(starts, np.unique(ends), side="right")
+                    order = sorted(ends)
+                    at, rare = np.searchsorted(starts, order, side="right"), np.array([ends[e] for e in order])
                     cuts = np.flatnonzero(np.diff(at) > 2 * reach) + 1
                     best = (0, 0, 0)
-                    for group in np.split(at, cuts):
+                    for group, seeded in zip(np.split(at, cuts), np.split(rare, cuts), strict=True):
                         lo, hi = max(0, int(group[0]) - reach), min(len(words), int(group[-1]) + reach)
+                        # a word of the item that is not near scores nothing, so this score cannot be reached
+                        if not seeded.any() and np.isin(own, nums[lo:hi]).sum() / len(own) < least:
+                            continue
                         score, a, b = align(own, nums[lo:hi])
                         best = max(best, (score, -(lo + a), lo + b))
                     share = best[0] / (2 * len(own))
@@ -165,12 +175,15 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             continue
         counted = docs.select("text").mapInArrow(_counter(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         count = {grams[r["gram"]]: r["n"] for r in counted}
-        owners: dict[str, list[int]] = {}
+        owners: dict[str, list[tuple[int, bool]]] = {}
         for k, (_, w) in enumerate(items):
-            for s in seeds_of(grams_of(w), count):
-                owners.setdefault(s, []).append(k)
-        seeds = sorted(owners)
-        found = docs.mapInArrow(_finder(items, seeds, [owners[s] for s in seeds], least), FOUND)
+            own = grams_of(w)
+            seeds = seeds_of(own, count)
+            for g in dict.fromkeys(own):
+                if g in count:
+                    owners.setdefault(g, []).append((k, g in seeds))
+        runs = sorted(owners)
+        found = docs.mapInArrow(_finder(items, runs, [owners[g] for g in runs], least), FOUND)
         out = found if out is None else out.union(found)
     return out if out is not None else df.sparkSession.createDataFrame([], FOUND)
 

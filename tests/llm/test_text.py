@@ -240,3 +240,16 @@ def test_seeds_cover_every_window():
     count = {g: int(g) * 7 % 11 for g in grams}
     seeds = decontam.seeds_of(grams, count)
     assert all(set(grams[i : i + decontam.WINDOW]) & seeds for i in range(31 - decontam.WINDOW)) and decontam.seeds_of([], {}) == set()
+
+
+@pytest.mark.parametrize("whole", [0, 1])
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_copies_edited_in_every_part_are_found(spark, every, whole):
+    # an edited copy as the only one, and beside a whole one, whose runs that the edits cut are then the rarest
+    item = [f"w{i}" for i in range(40)]
+    copy = " ".join(f"x{i}" if i % every == every - 1 else w for i, w in enumerate(item))
+    docs = docs_of(spark, [copy, "nothing of it"] + [" ".join(item)] * whole)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.contaminated(docs, bench).collect()}
+    assert set(got) == {0, *range(2, 2 + whole)}
+    assert got[0] == pytest.approx(slow_align(item, copy.split()) / 80)
