@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .worker import tool
 
 DIM_BITS = 12
-SAMPLE = 2400  # labelled documents that are fitted on, in all
+SAMPLE = 2400  # labelled documents that are fitted on, in all (two of each language if those are more)
+AT_ONCE = 256  # families fitted in one product
 PREDICTED = "lang_pred string, score double"
 
 # Families of languages by their usual codes; a code that is not here is a family of its own.
@@ -76,18 +77,18 @@ def _features() -> Features:
 
 
 def fit_svm(x, y, rounds: int = 200, penalty: float = 1e-4):
-    """(w, b) of a linear SVM: hinge loss, class-balanced, averaged subgradient steps."""
+    """(w, b) of a linear SVM: hinge loss, class-balanced, averaged subgradient steps; of one a column if y has columns."""
     import numpy as np
 
     y = y.astype(np.float32)  # all in single precision, else each product converts the whole matrix
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
+    share = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(0)), 0.5 / np.maximum(1, (y < 0).sum(0))).astype(np.float32)
+    w, b = np.zeros((x.shape[1], *y.shape[1:]), dtype=np.float32), np.zeros(y.shape[1:])
     sw, sb = w.copy(), 0.0
     for t in range(1, rounds + 1):
-        g = share * y * (y * (x @ w + np.float32(b)) < 1)
+        g = share * y * (y * (x @ w + b.astype(np.float32)) < 1)
         step = np.float32(8.0 / t**0.5)
-        w = w * (1 - step * np.float32(penalty)) + step * (g @ x)
-        b += float(step * g.sum()) * 0.1
+        w = w * (1 - step * np.float32(penalty)) + step * (x.T @ g)
+        b = b + (step * g.sum(0)).astype(np.float64) * 0.1
         if t > rounds // 2:
             sw, sb = sw + w, sb + b
     half = rounds - rounds // 2
@@ -102,13 +103,19 @@ class Model:
 
         self.langs = sorted(set(langs))
         y = np.array(langs)
-        of = np.array([family(v) for v in langs])
-        self.families = sorted(set(of))
-        self.members = {f: [v for v in self.langs if family(v) == f] for f in self.families}
+        home = {v: family(v) for v in self.langs}
+        of = np.array([home[v] for v in langs])
+        self.families = sorted(set(home.values()))
+        self.members = {f: [] for f in self.families}
+        for v in self.langs:
+            self.members[home[v]].append(v)
         parts = []
+        if len(self.families) > 1:
+            for k in range(0, len(self.families), AT_ONCE):
+                some = self.families[k : k + AT_ONCE]
+                w, b = fit_svm(x, np.where(of[:, None] == np.array(some), 1.0, -1.0))
+                parts += [(("family", f, ""), (w[:, j], b[j])) for j, f in enumerate(some)]
         for f in self.families:
-            if len(self.families) > 1:
-                parts.append((("family", f, ""), fit_svm(x, np.where(of == f, 1.0, -1.0))))
             for a, b in combinations(self.members[f], 2):
                 on = (y == a) | (y == b)
                 parts.append((("pair", a, b), fit_svm(x[on], np.where(y[on] == a, 1.0, -1.0))))
@@ -142,21 +149,24 @@ class Model:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` rows with a language and a text, as many of each language.
 
-    The sample is the rows whose hash lies below a threshold, which follows from the languages' counts over
+    Every language that occurs is fitted: with more than ``sample`` / 2 of them the sample is two rows of each,
+    16 KB a row on the driver.  The sample is the rows whose hash lies below a threshold, which follows from the languages' counts over
     all rows; no sort, and the same rows at each run.  None if there is no such row.
     """
     import numpy as np
 
     i, text, lang = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
     rows = df.filter(lang.isNotNull()).select(i.alias("i"), text.alias("text"), lang.alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     each = max(2, sample // len(counts))
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.2 * (each + 10) / n))])
+    # a join, not a map literal, which would be searched from its start at each row; it is on the driver already
+    shares = df.sparkSession.createDataFrame([(v, min(1.0, 1.2 * (each + 10) / n)) for v, n in counts.items()], "lang string, share double")
     # the hash of the text is in it so that one id on many rows does not decide for all of them
     h = F.pmod(F.xxhash64("i", "text"), F.lit(1 << 30))
-    taken = rows.filter(F.col("text").isNotNull() & (h < F.element_at(share, F.col("lang")) * float(1 << 30))).withColumn("h", h)
+    known = rows.filter(F.col("text").isNotNull()).withColumn("h", h).join(F.broadcast(shares), "lang")
+    taken = known.filter(F.col("h") < F.col("share") * float(1 << 30)).drop("share")
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa

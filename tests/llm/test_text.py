@@ -188,6 +188,17 @@ def test_language_edges(spark):
     assert langid.predict(asked.limit(0), model).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    # more labels than any fixed number of them; the last ones are the rarest
+    texts = {f"q{k}": " ".join(chr(0x4E00 + 40 * k + j) * 2 for j in range(20)) for k in range(230)}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for k, (lang, t) in enumerate(texts.items()) for _ in range(3 if k < 200 else 2))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(texts)
+    asked = spark.createDataFrame(list(texts.items()), "lang string, text string")
+    got = {r.lang: r.lang_pred for r in langid.predict(asked, model).collect()}
+    assert got == {lang: lang for lang in texts}
+
+
 # decontamination
 
 
