@@ -83,7 +83,17 @@ R.sql("a17_count_distinct", "lineitem", "SELECT l_returnflag, count(DISTINCT l_p
 
 @R.add("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events WHERE event_id <= 800 GROUP BY user_id")
 def a17_ordered_aggregate(spark, d):
-    rows = table(spark, d, "events").filter("event_id <= 800").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
+    return _ordered(table(spark, d, "events").filter("event_id <= 800"))
+
+
+@R.add("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events GROUP BY user_id")
+def a17_ordered_aggregate_whole(spark, d):
+    """All events, not those of the first ids."""
+    return _ordered(table(spark, d, "events"))
+
+
+def _ordered(events):
+    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
     return rows.select("user_id", F.array_join(F.transform("s", lambda x: x["event_type"]), ",").alias("kinds"))
 
 

@@ -25,3 +25,8 @@ def test_entry_without_optional_part(spark):
 
     assert set(registry.queries()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_ordered_aggregate_reads_every_event(spark, sf_dir):
+    got = registry.queries()["a17_ordered_aggregate_whole"](spark, sf_dir.replace("0.001", "0.01")).collect()
+    assert sum(len(r.kinds.split(",")) for r in got) == spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/events.parquet").count() > 801
