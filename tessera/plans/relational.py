@@ -15,6 +15,8 @@ R.sql("j3_left_is_null", "customer orders", "SELECT c.c_custkey, c.c_name FROM c
 R.sql("j4_join_group_order", "customer orders nation", "SELECT n.n_name, count(*) AS orders, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY n.n_name ORDER BY total DESC")
 for kind in ("RIGHT", "FULL"):
     R.sql(f"j5_{kind.lower()}", "customer orders", f"SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c {kind} JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o ON c.c_custkey = o.o_custkey")
+    # both sides whole; rows without a partner come from the price
+    R.sql(f"j5_{kind.lower()}_whole", "customer orders", f"SELECT c.c_custkey, o.o_orderkey FROM customer c {kind} JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
 R.sql("j5_cross", "region nation", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 R.sql("j5_semi", "customer orders", "SELECT c_custkey FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE c.c_custkey = o.o_custkey AND o.o_totalprice > 400000)")
 R.sql("j5_anti", "customer orders", "SELECT c_custkey FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE c.c_custkey = o.o_custkey AND o.o_totalprice > 200000)")

@@ -30,3 +30,12 @@ def test_entry_without_optional_part(spark):
 def test_ordered_aggregate_reads_every_event(spark, sf_dir):
     got = registry.queries()["a17_ordered_aggregate_whole"](spark, sf_dir.replace("0.001", "0.01")).collect()
     assert sum(len(r.kinds.split(",")) for r in got) == spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/events.parquet").count() > 801
+
+
+@pytest.mark.parametrize("kind", ["right", "full"])
+def test_outer_joins_keep_whole_sides(spark, sf_dir, kind):
+    got = registry.queries()[f"j5_{kind}_whole"](spark, sf_dir).collect()
+    keys = lambda t, k: {r[0] for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k).collect()}
+    assert {r.o_orderkey for r in got} - {None} == keys("orders", "o_orderkey") and any(r.c_custkey is None for r in got)
+    if kind == "full":
+        assert {r.c_custkey for r in got} - {None} == keys("customer", "c_custkey") and any(r.o_orderkey is None for r in got)
