@@ -55,13 +55,23 @@ R.sql("a13_empty_global", "events", "SELECT count(*) AS n, CAST(sum(event_id) AS
 
 @R.add("SELECT lower(event_type) AS kind, count(*) AS n, count(value) AS v, min(event_id) AS lo, max(event_id) AS hi, round(avg(user_id), 6) AS mean, count(*) FILTER (event_id % 2 = 0) AS even FROM events WHERE event_id BETWEEN 100 AND 5000 GROUP BY 1")
 def a15_reduce(spark, d):
+    return _reduce(table(spark, d, "events"), F.col("event_id").between(100, 5000))
+
+
+@R.add("SELECT lower(event_type) AS kind, count(*) AS n, count(value) AS v, min(event_id) AS lo, max(event_id) AS hi, round(avg(user_id), 6) AS mean, count(*) FILTER (event_id % 2 = 0) AS even FROM events GROUP BY 1")
+def a15_reduce_whole(spark, d):
+    """Over every id."""
+    return _reduce(table(spark, d, "events"), None)
+
+
+def _reduce(events, where):
     e = F.col("event_id")
     spec = ReduceSpec(
         (Reducer("count_all", "n"), Reducer("count", "v", F.col("value")), Reducer("min", "lo", e), Reducer("max", "hi", e), Reducer("avg", "mean", F.col("user_id")), Reducer("count_all", "even", where=e % 2 == 0)),
         (("kind", F.lower("event_type")),),
-        e.between(100, 5000),
+        where,
     )
-    return run(table(spark, d, "events"), spec).withColumn("mean", F.round("mean", 6))
+    return run(events, spec).withColumn("mean", F.round("mean", 6))
 
 
 @R.add("SELECT count(*) AS n, CAST(sum(event_id // (user_id % 5)) AS BIGINT) AS s FROM events WHERE user_id % 5 <> 0")

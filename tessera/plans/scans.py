@@ -209,11 +209,21 @@ def f8_morton_round_trip(spark, d):
 @R.add("SELECT p_partkey, (row_number() OVER (ORDER BY p_name, p_partkey))::BIGINT AS rn FROM part WHERE p_size < 20")
 def f9_key_codec_order(spark, d):
     """Rows numbered by the bytes of (name, key) are in the order of the values."""
+    return _by_key(table(spark, d, "part").filter("p_size < 20"))
+
+
+@R.add("SELECT p_partkey, (row_number() OVER (ORDER BY p_name, p_partkey))::BIGINT AS rn FROM part")
+def f9_key_codec_order_whole(spark, d):
+    """All parts, of any size."""
+    return _by_key(table(spark, d, "part"))
+
+
+def _by_key(part):
     from pyspark.sql import Window
 
     from ..functions.scalars import int_key, text_key
 
-    rows = table(spark, d, "part").filter("p_size < 20").withColumn("k", F.concat(text_key(F.col("p_name")), int_key(F.col("p_partkey"))))
+    rows = part.withColumn("k", F.concat(text_key(F.col("p_name")), int_key(F.col("p_partkey"))))
     return rows.select("p_partkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("rn"))
 
 

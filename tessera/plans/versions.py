@@ -118,6 +118,28 @@ def w4_cyclic_successor(spark, d):
     return log(spark, d).successors(900)
 
 
+_NOW = _LATEST.format("(SELECT max(event_id) FROM events)")
+
+
+@R.add(_NOW)
+def w3_latest_row_now(spark, d):
+    """Over the whole log: at its own watermark, as are the next two."""
+    at = log(spark, d)
+    return latest_at(at.ops, ["key"], "location", at.watermark()).select("key", "location", "value")
+
+
+@R.add(f"WITH a AS (SELECT key FROM ({_NOW}) t WHERE value IS NOT NULL) SELECT key, coalesce(lead(key) OVER (ORDER BY key), (SELECT min(key) FROM a)) AS next_key FROM a")
+def w4_cyclic_successor_now(spark, d):
+    at = log(spark, d)
+    return at.successors(at.watermark())
+
+
+@R.add(f"SELECT * FROM ({_NOW}) t WHERE value IS NOT NULL")
+def q5_active_state_now(spark, d):
+    at = log(spark, d)
+    return at.active(at.watermark())
+
+
 @R.add("WITH s AS (SELECT event_id AS s, event_id + 1 + event_id % 3 AS e FROM events WHERE event_id % 50 < 48 OR event_id < 300), r AS (SELECT *, greatest(0, coalesce(max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reach FROM s) SELECT coalesce((SELECT min(reach) FROM r WHERE s > reach), (SELECT max(e) FROM s))::BIGINT AS frontier")
 def w5_contiguous_frontier(spark, d):
     acks = table(spark, d, "events").filter("event_id % 50 < 48 OR event_id < 300").selectExpr("event_id AS start", "event_id + 1 + event_id % 3 AS end")

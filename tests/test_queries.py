@@ -39,3 +39,15 @@ def test_outer_joins_keep_whole_sides(spark, sf_dir, kind):
     assert {r.o_orderkey for r in got} - {None} == keys("orders", "o_orderkey") and any(r.c_custkey is None for r in got)
     if kind == "full":
         assert {r.c_custkey for r in got} - {None} == keys("customer", "c_custkey") and any(r.o_orderkey is None for r in got)
+
+
+def test_whole_log_and_tables_are_read(spark, sf_dir):
+    d, ask = sf_dir.replace("0.001", "0.01"), registry.queries()
+    events, parts = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("events", "part"))
+    users = events.select("user_id").distinct().count()
+    latest = ask["w3_latest_row_now"](spark, d).collect()
+    alive = {r.key for r in latest if r.value is not None}
+    assert len(latest) == users and max(r.location for r in latest) == events.agg({"event_id": "max"}).first()[0]
+    assert {r.key for r in ask["q5_active_state_now"](spark, d).collect()} == {r.key for r in ask["w4_cyclic_successor_now"](spark, d).collect()} == alive
+    assert sum(r.n for r in ask["a15_reduce_whole"](spark, d).collect()) == events.count()
+    assert ask["f9_key_codec_order_whole"](spark, d).count() == parts.count()
