@@ -46,17 +46,19 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(places, F.lit(0).cast("bigint"), lambda a, p: a * 2 + bit(p))
 
 
-def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), bits: int = BITS) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), bits: int = BITS, key: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, curve, shard, slot, grown_shard: one row for each row of ``df``.
 
     The law is ``rows``: shards' counts differ by one at most.  Dimensions are the text columns ``dims`` and
     the magnitude of the size.  Rows of one cell are ordered by salt, the text's checksum, and id.  Defined cases: a null text counts no bytes and has a null checksum; null is the
     first value of a dimension; repeated rows each get their own slot; with fewer rows than shards some stay
-    empty; an empty table gives an empty result; extra columns are dropped.
+    empty; an empty table gives an empty result; extra columns are dropped,
+    but for ``key``, if one is named.
     """
+    keys = [key] if key else []
     text = F.col(f"`{text_col}`")
     names = [f"_d{i}" for i in range(len(dims))]
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), *[F.col(f"`{d}`").cast("string").alias(n) for d, n in zip(dims, names, strict=True)])
+    rows = df.select(*keys, F.col(f"`{id_col}`").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), *[F.col(f"`{d}`").cast("string").alias(n) for d, n in zip(dims, names, strict=True)])
     rows = materialize(rows.withColumn("_place", F.monotonically_increasing_id()), "shard_rows")
     cells = 1 << bits
     coded = rows.withColumn("_m", F.least(F.length(F.bin("size")) - 1, F.lit(cells - 1)).cast("int"))
@@ -68,7 +70,7 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     packed = F.col("_m").cast("bigint")
     for i, name in enumerate(names):
         packed = packed + F.col(f"{name}_q").cast("bigint") * (1 << bits * (i + 1))
-    coded = coded.select("doc_id", "size", "text_crc32", "_place", packed.alias("_cell"))
+    coded = coded.select(*keys, "doc_id", "size", "text_crc32", "_place", packed.alias("_cell"))
     # the curve is computed for cells, of which there are few, not for rows
     axis = lambda i: F.call_function("shiftright", F.col("_cell"), F.lit(bits * i)).bitwiseAND(F.lit(cells - 1))
     counts = materialize(coded.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")), "shard_counts")
@@ -90,13 +92,15 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     ranked = ranked.join(small(base, base.count()), (F.col("curve") == F.col("_gc")) & (F.col("_salt") == F.col("_gs")))
     out = ranked.withColumn("_rank", F.col("_base") + F.col("_in")).withColumn("_shard", F.expr(f"((_rank + 1) * {n_shards} - 1) div _all"))
     slot = F.col("_rank") - F.expr(f"(_shard * _all) div {n_shards}")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "curve", F.col("_shard").cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(*keys, "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "curve", F.col("_shard").cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", **options) -> None:
     """Write ``df`` by shard, rows along the curve, so that file statistics are narrow in every dimension."""
-    plan = shard(df, id_col=id_col, **options).select(F.col("doc_id").alias("_id"), "shard", "slot").dropDuplicates(["_id"])
-    out = df.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).drop("_id")
+    # rows are numbered, and written so that the numbers stay: ids may be null or shared
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "shard_input")
+    plan = shard(rows, id_col=id_col, key="_row", **options).select("_row", "shard", "slot")
+    out = rows.join(plan, "_row").drop("_row")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

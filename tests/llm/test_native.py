@@ -113,3 +113,12 @@ def test_op9_whole_table(spark, sf_dir):
     got = queries.QUERIES["op9_shard"](spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert got.count() == docs.count() and got.select("shard").distinct().count() == 24
+
+
+def test_shard_files_hold_each_row_in_its_slot(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i // 4, f"text {i % 40}", "s", "en") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    hilbert.write_shards(df, str(tmp_path / "out"), n_shards=6)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((d or -1, t) for d, t, _, _ in rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(k, j) for k in range(6) for j in range(20)]
