@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,42 +20,42 @@ from .shared import lean_batches, local_path, materialize, open_fs, shared_dir
 
 MANIFEST = "shard int, name string, width int, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-ROWS = 256  # texts encoded together
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, width: int):
     def write(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         from .bpe import encoder
 
-        enc, end = encoder(tokenizer, width), int(end_id).to_bytes(width, "little")
-        part = TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, width), TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        ends, ids, known, out = array("q", [0]), array("q"), bytearray(), None
+        lens, ids, known, out = [np.zeros(1, dtype="<i8")], [], [], None
         fs, path = open_fs(folder)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                piece = batch.slice(at, ROWS)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                if out is None:
-                    fs.create_dir(path, recursive=True)
-                    out = fs.open_output_stream(f"{path}/{name}.bin")
-                for tokens in enc.encode(texts):
-                    out.write(tokens + end)
-                    ends.append(ends[-1] + len(tokens) // width + 1)
-                for i in piece.column(0).to_pylist():
-                    ids.append(0 if i is None else i)
-                    known.append(i is not None)
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(path, recursive=True)
+                out = fs.open_output_stream(f"{path}/{name}.bin")
+            for tokens, each in enc.encode(pc.fill_null(batch.column(1), ""), end_id):
+                for some in tokens:
+                    out.write(some.tobytes())
+                lens.append(each)
+            ids.append(np.asarray(pc.fill_null(batch.column(0), 0), dtype="<i8"))
+            known.append(np.asarray(pc.is_valid(batch.column(0)), dtype="u1"))
         if out is None:
             return
         out.close()
-        for suffix, data in ((".idx", ends.tobytes()), (".doc", ids.tobytes() + bytes(known))):
+        ends = np.cumsum(np.concatenate(lens), dtype="<i8")
+        for suffix, arrays in ((".idx", [ends]), (".doc", [*ids, *known])):
             with fs.open_output_stream(f"{path}/{name}{suffix}") as f:
-                f.write(data)
-        values = [[part], [name], [width], [len(ids)], [ends[-1]]]
+                for data in arrays:
+                    f.write(data.tobytes())
+        values = [[part], [name], [width], [len(ends) - 1], [int(ends[-1])]]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["shard", "name", "width", "n_docs", "n_tokens"])
 
     return write
