@@ -4,13 +4,15 @@ import collections
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, neardup, queries, tokenbin, tokencount
+from tessera.llm import bpe, decontam, langid, neardup, queries, tokenbin, tokencount
 from tessera.llm.bpe import Encoder
 
 ODD = ["I'll've don't're  it's 'r 're 'rex''s don'", "<|endoftext|> a <|endoftext|>b", "<|ENDOFTEXT|>", "İstanbul Σας ΣΑΣ. ß é café　x中文字 \x1c q", "", "  \n ", "ab\x85cd\xa0ef", "½²x9９", "naïve—“q”…", "🙂🙂 a‍b", "a" * 300, "Word, WORD word; x.y!! 12,000"]
@@ -31,10 +33,35 @@ def docs_of(spark, texts, **more):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
+PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028)]]
+SCRIPTS = ["Привет, МИР!", "J\u030c ǰ ＡＢＣ ﬁ", "नमस्ते दुनिया", "\u1100\u1161\u11a8 각", "สวัสดี", "中文字符", "e\u0323\u0301x", "=\u0338 <\u0338", " \u0301", "a<|endoftext|>b re's<|endofte", "🙂" * 40]
+
+
+def odd_texts(n, seed=1):
+    rng = random.Random(seed)
+    anything = [chr(c) for c in range(0x3000)]
+    close = ["e", "a", "J", "=", "<", " ", "\u3000", "!", "'", "s", "r", *map(chr, range(0x300, 0x330))]
+    return ["".join(rng.choices(some, k=40)) for some in (PLAIN, anything, close) for _ in range(n)]
+
+
 def test_encoder_is_the_library(spark, lib, sf_dir):
-    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ODD
-    got = Encoder(tokenbin.default_tokenizer()).encode(texts)
-    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [ids(lib, t) for t in texts]
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += ODD + SCRIPTS + odd_texts(200) + [c + "x " + c + c for c in PLAIN]
+    got = []
+    for tokens, lens in Encoder(tokenbin.default_tokenizer()).encode(pa.array(texts)):
+        got += [x.tolist() for x in np.split(np.concatenate(tokens), np.cumsum(lens)[:-1])]
+    assert got == [ids(lib, t) for t in texts]
+
+
+def test_encoder_with_small_tables(lib, monkeypatch):
+    # tables that start anew, words and chunks that are not kept, several pieces
+    for name, n in (("KEEP", 20), ("KEEP_WORDS", 20), ("LONG", 5), ("PIECE_BYTES", 200), ("STEP", 7), ("TOGETHER", 3)):
+        monkeypatch.setattr(bpe, name, n)
+    texts = ODD + SCRIPTS + odd_texts(20) + ["the cat sat on the mat, verylongword. " * 9] * 3
+    enc = Encoder(tokenbin.default_tokenizer())
+    for _ in range(2):
+        got = [x.tolist() for a, b in bpe.pieces(pa.array(texts), 200) for tokens, lens in enc.encode(pa.array(texts[a:b]), 2) for x in np.split(np.concatenate(tokens), np.cumsum(lens)[:-1])]
+        assert got == [[*ids(lib, t), 2] for t in texts]
 
 
 def test_token_files(spark, lib):
@@ -58,15 +85,36 @@ def test_token_files(spark, lib):
 
 def test_prefix_counts(spark, lib, sf_dir):
     pre = tokencount.Prefixes(tokenbin.default_tokenizer())
-    texts = ODD + [r.text[:400] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(25).collect()]
+    texts = ODD + SCRIPTS + odd_texts(25) + [r.text[:400] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(25).collect()]
+    texts += ["e\u0301" * 90, "\u1112\u1161\u11ab" * 80, "x" * 90 + "'re", "!" * 80 + "=\u0338", "ab" * 60 + "e\u0323\u0301z"]
+    assert pre.totals(pa.array(texts)).tolist() == [len(ids(lib, t)) for t in texts]
     for text in texts:
-        table = pre.table(text)
-        assert table.tolist() == [len(ids(lib, text[:p])) for p in range(len(text) + 1)]
-        assert pre.total(text) == table[-1]
+        assert pre.table(text).tolist() == [len(ids(lib, text[:p])) for p in range(len(text) + 1)]
     table = pre.table("the cat sat on the mat")
     assert tokencount.fits(table, 3) == len("the cat sat ") and tokencount.fits(table, 0) == 0
 
 
+def test_pairs_that_fit_are_what_merging_gives():
+    pre, rng = tokencount.Prefixes(tokenbin.default_tokenizer()), random.Random(8)
+    inner, final = ([t for t, k in sorted(pre.kinds.items()) if k & kind and pre._parts(t + mark)] for kind, mark in ((1, ""), (2, pre.end)))
+    short = [t for t in inner if len(t) < 3]
+    for _ in range(20_000):
+        a, end = rng.choice(rng.choice((short, inner))), rng.random() < 0.5
+        b = rng.choice(final if end else [*rng.choices(inner, k=2), a, a[0], a[-1]])
+        letters = [*a, *b[:-1], b[-1] + pre.end] if end else [*a, *b]
+        assert pre._fit(a, b, end) == (pre._merge(letters) == [a, b + pre.end if end else b])
+
+
+@pytest.mark.parametrize("text", ["'" * 100_000, "a" * 1_000_000, "中文字符漢字" * 20_000, "Привет" * 20_000, "🙂" * 30_000, "\u1100\u1161\u11a8" * 20_000, "สวัสดี" * 20_000], ids=["apostrophes", "letters", "cjk", "cyrillic", "emoji", "jamo", "thai"])
+def test_long_chunks_take_linear_time(lib, text):
+    began, pre = time.time(), tokencount.Prefixes(tokenbin.default_tokenizer())
+    table = pre.table(text)
+    assert time.time() - began < 60 and len(table) == len(text) + 1
+    assert table[-1] == pre.totals(pa.array([text]))[0]
+    some = text[:3000]
+    assert table[3000] == len(ids(lib, some))
+
+
 def test_token_counts(spark, lib):
     long = "word " * 3000
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate([*ODD, None, long, long])], "doc_id int, text string, n_tokens int")
