@@ -28,8 +28,20 @@ class Artifacts:
         rows = {"header": list(headers), "block": list(blocks), "notarized": list(notarized), "finalized_by_view": [(v, d, p) for v, _, d, p in finalized], "finalized_by_height": [(h, d, p) for _, h, d, p in finalized]}
         return self.log.commit({k: self.spark.createDataFrame(r, KINDS[k]) for k, r in rows.items() if r}).seq
 
+    def put(self, frames: dict[str, DataFrame]) -> int:
+        """One batch from frames by kind; certificates must name a header that is there or in the batch."""
+        for kind, df in frames.items():
+            frames[kind] = df.select(*[F.col(f.name).cast(f.dataType) for f in KINDS[kind]])
+        heads = self.records("header").select("digest")
+        if "header" in frames:
+            heads = heads.union(frames["header"].select("digest"))
+        for kind, df in frames.items():
+            if KINDS[kind] is CERTIFICATE and df.join(heads, "digest", "left_anti").limit(1).count():
+                raise ValueError(f"a {kind} certificate names no header")
+        return self.log.commit(frames).seq
+
     def records(self, kind: str) -> DataFrame:
-        got = self.log.read(kind, schema=KINDS[kind])
+        got = self.log.history(kind, schema=KINDS[kind])
         return got if got is not None else self.spark.createDataFrame([], T.StructType([*KINDS[kind].fields, T.StructField("seq", T.LongType())]))
 
     def _one(self, kind: str, where) -> bytes | None:
@@ -49,3 +61,8 @@ class Artifacts:
     def mismatched(self, kind: str) -> DataFrame:
         """Certificates whose digest is no header's."""
         return self.records(kind).join(self.records("header").select("digest"), "digest", "left_anti")
+
+    def certified(self, kind: str) -> DataFrame:
+        """position, digest, payload and header of certificates, joined to the headers whose digest they name."""
+        heads = self.records("header").groupBy("digest").agg(F.max_by("payload", "seq").alias("header"))
+        return self.records(kind).select("position", "digest", "payload").join(heads, "digest")

@@ -59,6 +59,37 @@ class OpLog:
         """Keys alive at ``at``: the deletion is judged on the latest operation, not filtered before."""
         return self._latest(at, floor).filter(F.col(self.value).isNotNull())
 
+    def active_at_boundary(self, at: int, floor: int | None = None) -> DataFrame:
+        """active(), of a published location that ends a batch; others raise."""
+        self.require(at, boundary=True)
+        return self.active(at, floor)
+
+    def boundaries(self, start: int, stop: int) -> DataFrame:
+        """Locations of [start, stop] that end a published batch."""
+        if self.batches is None:
+            raise OpLogError("the log has no batches")
+        return self.batches.filter(F.col(self.location).between(start, min(stop, self.watermark()))).select(self.location)
+
+    def lookup(self, asked: DataFrame, at: int, order: str = "pos", hits_only: bool = False) -> DataFrame:
+        """Of each asked key (with its place in the request, ``order``) if it is active at ``at``, and its value.
+
+        A key that is asked for twice raises.  The log is reduced to the asked keys before it is grouped.
+        """
+        if asked.groupBy(self.key).count().filter("count > 1").limit(1).count():
+            raise OpLogError("a key is asked for twice")
+        own = OpLog(self.ops.join(asked.select(self.key), self.key, "left_semi"), self.location, self.key, self.value)
+        out = asked.join(own.active(at).select(self.key, self.value), self.key, "inner" if hits_only else "left")
+        return out.select(order, self.key, F.col(self.value).isNotNull().alias("hit"), self.value)
+
+    def links(self, at: int, start, end) -> DataFrame:
+        """Evidence of a key range: its active keys with the next one, and the key before it whose link spans ``start``.
+
+        Followed from one to the next they show that no other key is in [start, end).
+        """
+        key, nxt, first = F.col(self.key), F.col("next_key"), F.lit(start)
+        spans = ((key < first) & (first < nxt)) | ((nxt <= key) & ((first > key) | (first < nxt)))
+        return self.successors(at).filter((key >= first) & (key < F.lit(end)) | spans)
+
     def operations(self, start: int, most: int, at: int | None = None) -> DataFrame:
         """Operations from ``start``, ``most`` of them, none beyond ``at``; a gap raises."""
         at = self.watermark() if at is None else at

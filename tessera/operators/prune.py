@@ -76,29 +76,68 @@ def u64(c: Column) -> Column:
     return F.coalesce(F.conv(F.when(F.length(c) > 0, F.hex(c)), 16, 10).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
 
 
+def _order(policy: PrunePolicy) -> Column:
+    """What the policy orders by, as bytes in that order."""
+    name, kind = policy.order_by
+    order = policy._captured(name)
+    if kind == "u64_be":
+        return F.unhex(F.lpad(F.conv(u64(order).cast("string"), 10, 16), 16, "0"))
+    if kind == "i64_be":  # a sign flip puts two's complement in byte order
+        sign = F.when(F.hex(F.substr(order, F.lit(1), F.lit(1))) >= "80", F.lit(bytearray(b"\x00"))).otherwise(F.lit(bytearray(b"\x01")))
+        return F.concat(sign, order)
+    return order
+
+
 def apply(state: DataFrame, policies: list[PrunePolicy]) -> DataFrame:
-    """The rows of ``state`` (key, ...) that stay.  Keys that no pattern matches always do."""
+    """The rows of ``state`` (key, ...) that stay.  Keys that no pattern matches always do.
+
+    One pass: thresholds and drops are decided in place, and what keep_latest policies are about meets one window.
+    """
     validate(policies)
-    rest, kept = state, []
-    for p in policies:
-        hit = F.coalesce(p.matches(), F.lit(False))
-        mine, rest = rest.filter(hit), rest.filter(~hit)
+    number = F.lit(None).cast("int")
+    for i, p in enumerate(policies):
+        number = F.when(F.coalesce(p.matches(), F.lit(False)), F.lit(i)).otherwise(number)
+    latest = [i for i, p in enumerate(policies) if p.retain.kind == "keep_latest"]
+    stays = F.lit(True)
+    for i, p in enumerate(policies):
         if p.retain.kind == "drop_all":
-            continue
-        if p.retain.kind == "keep_latest":
-            name, kind = p.order_by
-            order = p._captured(name)
-            # a sign flip puts two's complement in byte order
-            order = u64(order) if kind == "u64_be" else F.concat(F.when(F.hex(F.substr(order, F.lit(1), F.lit(1))) >= "80", 0).otherwise(1).cast("string"), F.hex(order)) if kind == "i64_be" else order
-            by = Window.partitionBy(*[p._captured(g) for g in p.group_by]).orderBy(order.desc(), F.desc("key"))
-            kept.append(mine.withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= p.retain.n).drop("_rn"))
-        else:
-            at = u64(p._captured(p.order_by[0]))
-            t = F.lit(p.retain.n).cast("decimal(20,0)")
-            kept.append(mine.filter(at > t if p.retain.kind == "greater_than" else at >= t))
-    for k in kept:
-        rest = rest.unionByName(k)
-    return rest
+            stays = F.when(F.col("_policy") == i, F.lit(False)).otherwise(stays)
+        elif i not in latest:
+            at, t = u64(p._captured(p.order_by[0])), F.lit(p.retain.n).cast("decimal(20,0)")
+            stays = F.when(F.col("_policy") == i, at > t if p.retain.kind == "greater_than" else at >= t).otherwise(stays)
+    marked = state.withColumn("_policy", number)
+    if not latest:
+        return marked.filter(stays).drop("_policy")
+    ranked = F.col("_policy").isin(latest)
+    empty = F.array().cast("array<binary>")
+    group, order, most = empty, F.lit(None).cast("binary"), F.lit(0)
+    for i in latest:
+        p, own = policies[i], F.col("_policy") == i
+        group = F.when(own, F.array(*[p._captured(g) for g in p.group_by]) if p.group_by else empty).otherwise(group)
+        order = F.when(own, _order(p)).otherwise(order)
+        most = F.when(own, F.lit(p.retain.n)).otherwise(most)
+    by = Window.partitionBy("_policy", "_group").orderBy(F.desc("_order"), F.desc("key"))
+    kept = marked.filter(ranked).withColumns({"_group": group, "_order": order, "_most": most})
+    kept = kept.withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= F.col("_most"))
+    rest = marked.filter(F.coalesce(~ranked, F.lit(True)) & stays)
+    return rest.drop("_policy").unionByName(kept.drop("_policy", "_group", "_order", "_most", "_rn"))
+
+
+@dataclass(frozen=True)
+class UpdatePolicy:
+    """Which updates of an operation log stay: keep_latest_updates (``n`` of each key) or keep_positions_gte (``n``)."""
+
+    kind: str
+    n: int
+
+    def apply(self, df: DataFrame, key: str, position: str) -> DataFrame:
+        if self.kind == "keep_positions_gte":
+            return df.filter(F.col(position) >= self.n)
+        if self.kind != "keep_latest_updates":
+            raise PolicyError(f"cannot apply {self.kind}")
+        if self.n < 1:
+            raise PolicyError("keep_latest_updates needs a positive count")
+        return keep_latest_versions(df, [key], position, self.n)
 
 
 def keep_latest_versions(df: DataFrame, entity: list[str], version: str, n: int) -> DataFrame:

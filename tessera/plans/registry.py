@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, relational, scans, versions
+from . import aggregates, relational, scans, surfaces, versions
 
-FAMILIES = (scans.R, relational.R, aggregates.R, versions.R)
+FAMILIES = (scans.R, relational.R, aggregates.R, versions.R, surfaces.R)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ import struct
 
 from pyspark.sql import functions as F
 
-from ..operators.oplog import OpLog, contiguous_frontier
-from ..operators.prune import PrunePolicy, Retain, apply, keep_latest_versions
+from ..artifacts import Artifacts
+from ..operators.oplog import OpLog, OpLogError, contiguous_frontier
+from ..operators.predicates import Selector, ValueFilter
+from ..operators.prune import PrunePolicy, Retain, UpdatePolicy, apply, keep_latest_versions
 from ..operators.versioned import exact, keep_latest, latest_at
 from ..session import Engine
 from ..sources.kv import KvStore
 from ..sources.tables import shared_dir
 from ..spec import ColumnSpec, TableSpec
+from ..streaming.subscribe import subscribe_log
 from .common import Registry, table
 
 R = Registry()
@@ -47,12 +50,12 @@ def v1_exact_version(spark, d):
 
 @R.add("SELECT event_type, max(event_id) AS event_id FROM events GROUP BY event_type")
 def t6_latest_record(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.max_by("event_id", "event_id").alias("event_id"))
+    return latest_at(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id")
 
 
 @R.add("SELECT max(event_id) AS location FROM events")
 def q1_watermark(spark, d):
-    return log(spark, d).ops.agg(F.max("location").alias("location"))
+    return spark.createDataFrame([(log(spark, d).watermark(),)], "location long")
 
 
 @R.add(f"SELECT k.key::BIGINT AS key, l.location, l.value FROM (VALUES (1), (2), (3), (10), (50), (100000)) k(key) LEFT JOIN ({_LATEST.format(700)}) l ON l.key = k.key")
@@ -89,18 +92,44 @@ def q6_key_range(spark, d):
 
 @R.add(f"SELECT r.pos, r.key::BIGINT AS key, l.value IS NOT NULL AS hit, l.value FROM (VALUES (0, 5), (1, 2), (2, 77777), (3, 9)) r(pos, key) LEFT JOIN ({_LATEST.format(900)}) l ON l.key = r.key AND l.value IS NOT NULL")
 def q7_multi_key_lookup(spark, d):
-    asked = spark.createDataFrame([(0, 5), (1, 2), (2, 77777), (3, 9)], "pos int, key long")
-    return asked.join(log(spark, d).active(900).select("key", "value"), "key", "left").select("pos", "key", F.col("value").isNotNull().alias("hit"), "value")
+    """In the order of the request; a request that names a key twice is refused."""
+    one = log(spark, d)
+    try:
+        one.lookup(spark.createDataFrame([(0, 5), (1, 5)], "pos int, key long"), 900)
+        raise AssertionError("a key was asked for twice")
+    except OpLogError:
+        return one.lookup(spark.createDataFrame([(0, 5), (1, 2), (2, 77777), (3, 9)], "pos int, key long"), 900)
 
 
 @R.add("SELECT b.location FROM (SELECT max(event_id) AS location FROM events GROUP BY event_id // 100) b WHERE b.location BETWEEN 150 AND 900")
 def q8_boundaries(spark, d):
-    return log(spark, d).batches.filter("location BETWEEN 150 AND 900").select("location")
+    """Ends of batches; a question at another location is refused."""
+    one = log(spark, d)
+    one.require(899, boundary=True)
+    try:
+        one.require(898, boundary=True)
+        raise AssertionError("898 ends no batch")
+    except OpLogError:
+        return one.boundaries(150, 900)
 
 
 @R.add("SELECT * FROM conversations WHERE turn >= 2")
 def q11_keep_positions_gte(spark, d):
-    return table(spark, d, "conversations").filter("turn >= 2")
+    return UpdatePolicy("keep_positions_gte", 2).apply(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+@R.add("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) t WHERE rn <= 2")
+def q11_keep_latest_updates(spark, d):
+    return UpdatePolicy("keep_latest_updates", 2).apply(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id")
+
+
+_KEYS = f"WITH a AS (SELECT key FROM ({_LATEST.format(900)}) t WHERE value IS NOT NULL), l AS (SELECT key, coalesce(lead(key) OVER (ORDER BY key), (SELECT min(key) FROM a)) AS next_key FROM a)"
+
+
+@R.add(f"{_KEYS} SELECT key, next_key FROM l WHERE (key >= 20 AND key < 40) OR (key < 20 AND 20 < next_key) OR (next_key <= key AND (20 > key OR 20 < next_key))")
+def q6_range_evidence(spark, d):
+    """The links that show which keys of a range are active, and that no other is."""
+    return log(spark, d).links(900, 20, 40)
 
 
 @R.add("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) t WHERE rn <= 3")
@@ -203,10 +232,12 @@ def s3_kv_range(spark, d):
 @R.add("SELECT event_id % 3 + 1 AS seq, count(*) AS n FROM events WHERE event_type = 'click' AND regexp_matches(props, '[13579]\\}$') GROUP BY 1")
 def r1_log_filter(spark, d):
     """What a subscription from the first batch on is sent: key prefix and value pattern."""
-    from ..operators.predicates import Selector, ValueFilter
-
-    got = _store(spark, d).matching([Selector(b"click:")], [ValueFilter("regex", r"[13579]\}$")], since=1)
-    return got.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    s = _store(spark, d)
+    selectors, values = [Selector(b"click:")], [ValueFilter("regex", r"[13579]\}$")]
+    out = f"{s.root}/frames"
+    frame = lambda seq, df: df.write.mode("overwrite").parquet(f"{out}/frame={seq}")
+    subscribe_log(spark, s.root, selectors, frame, f"{s.root}/checkpoint", values, since=1, once=True).awaitTermination()
+    return spark.read.parquet(out).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 EVENTS = TableSpec("events", (ColumnSpec("event_id", "int64"), ColumnSpec("user_id", "int64"), ColumnSpec("event_type", "utf8"), ColumnSpec("value", "float64")), ("event_id",))
@@ -224,8 +255,6 @@ def r6_sql_subscribe(spark, d):
     out = f"{root}/frames"
     q = e.subscribe("events", "value > 60 AND event_type <> 'view'", lambda seq, df: df.write.mode("overwrite").parquet(f"{out}/frame={seq}"), f"{root}/checkpoint", since=2, once=True)
     q.awaitTermination()
-    if q.exception():
-        raise q.exception()
     return spark.read.parquet(out).select("seq", "event_id", "user_id", "event_type", "value")
 
 
@@ -241,11 +270,17 @@ def r10_retention(spark, d):
 
 @R.add("SELECT user_id AS digest_of, count(*) AS certificates FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def x3_certificate_join(spark, d):
-    """Certificates joined to the header whose digest they name."""
-    e = table(spark, d, "events")
-    headers = e.select("user_id").distinct().select("user_id", F.unhex(F.sha2(F.col("user_id").cast("string"), 256)).alias("digest"))
-    certs = e.filter("event_type = 'purchase'").select(F.unhex(F.sha2(F.col("user_id").cast("string"), 256)).alias("digest"))
-    return certs.join(headers, "digest").groupBy(F.col("user_id").alias("digest_of")).agg(F.count(F.lit(1)).alias("certificates"))
+    """Certificates joined to the header whose digest they name; one that names none is refused."""
+    e, digest = table(spark, d, "events"), F.unhex(F.sha2(F.col("user_id").cast("string"), 256)).alias("digest")
+    a = Artifacts(spark, shared_dir(spark))
+    a.put({"header": e.select("user_id").distinct().select(digest, F.encode(F.col("user_id").cast("string"), "UTF-8").alias("payload"))})
+    certs = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("position"), digest, F.encode("props", "UTF-8").alias("payload"))
+    try:
+        a.put({"notarized": certs.limit(1).withColumn("digest", F.encode(F.lit("none"), "UTF-8"))})
+        raise AssertionError("no header has this digest")
+    except ValueError:
+        a.put({"notarized": certs})
+    return a.certified("notarized").groupBy(F.decode("header", "UTF-8").cast("long").alias("digest_of")).agg(F.count(F.lit(1)).alias("certificates"))
 
 
 @R.add("SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s")

@@ -1,15 +1,17 @@
 """Index projections of a table: its rows' key and covered columns, clustered by the index keys.
 
 A lexicographic index is dealt by ranges of its keys and sorted, a z-order index by the interleaved ranks of
-its keys; predicates on the plain columns then skip files and row groups by their statistics.  Projections are
-derived from the table's rows, so they cannot go stale; a chooser picks one before the query is built.
+its keys; predicates on the plain columns then skip files and row groups by their statistics.  A projection
+records the batch up to which it holds the table; readers put what was written after it in place of the rows it
+replaces, so an index follows its table.  A chooser picks a path before the query is built.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import morton
@@ -17,6 +19,46 @@ from ..operators.predicates import Constraint, conjunction
 from ..spec import IndexSpec, TableSpec
 
 
+@dataclass(frozen=True)
+class Projection:
+    """An index's rows, and the batch up to which they hold the table (0: a table without a log)."""
+
+    rows: DataFrame
+    seq: int
+
+
+def publish(store, table: TableSpec, index: IndexSpec, path: str, seq: int) -> None:
+    """Record a written projection, so that other engines of the root find it."""
+    at = 1 + max((int(n[:-5]) for n in store.names(f"index/{table.name}/{index.name}/made")), default=0)
+    store.create(f"index/{table.name}/{index.name}/made/{at}.json", json.dumps({"path": path, "seq": seq}))
+
+
+def stored(store, spark: SparkSession, table: TableSpec) -> dict[str, Projection]:
+    """The last recorded projection of each of the table's indexes."""
+    out = {}
+    for i in table.indexes:
+        folder = f"index/{table.name}/{i.name}/made"
+        if last := max((int(n[:-5]) for n in store.names(folder)), default=None):
+            made = json.loads(store.read(f"{folder}/{last}.json"))
+            out[i.name] = Projection(spark.read.parquet(made["path"]), made["seq"])
+    return out
+
+
+def replaced(rows: DataFrame, newer: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with those of ``newer`` in place of the ones with the same key."""
+    return rows.join(newer.select(*key), key, "left_anti").select(*rows.columns).unionByName(newer.select(*rows.columns))
+
+
+def place(value: Column, points: list[float]) -> Column:
+    """How many of the sorted ``points`` are not above ``value`` (null: 0), by halving steps."""
+    if not points:
+        return F.lit(0)
+    known = F.from_json(F.lit(json.dumps(points)), "array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(points).bit_length()))])
+    onward = lambda at, s: (at + s <= F.lit(len(points))) & F.coalesce(F.get(known, at + s - 1) <= value, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(onward(at, s), at + s).otherwise(at))
+
+
 def rank_bits(df: DataFrame, columns: list[str], bits: int = 10) -> list[Column]:
     """Each column as an unsigned number of ``bits`` bits: its place between approximate quantiles.
 
@@ -26,11 +68,7 @@ def rank_bits(df: DataFrame, columns: list[str], bits: int = 10) -> list[Column]
     shares = [i / n for i in range(1, n)]
     as_double = {c: F.col(c).cast("double") if dict(df.dtypes)[c] not in ("date", "timestamp", "timestamp_ntz") else F.unix_micros(F.col(c).cast("timestamp")).cast("double") for c in columns}
     cuts = df.agg(*[F.percentile_approx(v, shares, 10_000).alias(c) for c, v in as_double.items()]).first()
-    out = []
-    for c in columns:
-        points = sorted(set(cuts[c] or []))
-        out.append(F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p, v=as_double[c]: p <= v)) if points else F.lit(0))
-    return out
+    return [place(as_double[c], sorted(set(cuts[c] or []))) for c in columns]
 
 
 def project(df: DataFrame, table: TableSpec, index: IndexSpec) -> DataFrame:
@@ -41,8 +79,10 @@ def project(df: DataFrame, table: TableSpec, index: IndexSpec) -> DataFrame:
         order = list(dict.fromkeys([*index.keys, *table.primary_key]))
         return rows.repartitionByRange(*order).sortWithinPartitions(*order)
     bits = min(8, 62 // len(index.keys))
-    coded = rows.withColumn("_z", morton(rank_bits(df, list(index.keys), bits), bits))
-    return coded.repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
+    # the ranks are columns first: each of their bits is used
+    ranks = {f"_r{i}": r for i, r in enumerate(rank_bits(df, list(index.keys), bits))}
+    coded = rows.withColumns(ranks).withColumn("_z", morton([F.col(r) for r in ranks], bits))
+    return coded.repartitionByRange("_z").sortWithinPartitions("_z").select(*columns)
 
 
 def write(df: DataFrame, table: TableSpec, index: IndexSpec, path: str, mode: str = "overwrite") -> None:
@@ -105,18 +145,21 @@ def choose(table: TableSpec, constraints: list[Constraint], columns: list[str],
     return best
 
 
-def scan(base: DataFrame, projections: dict[str, DataFrame], table: TableSpec, constraints: list[Constraint], columns: list[str]) -> tuple[DataFrame, AccessPath]:
-    """Rows and columns of ``table`` under ``constraints`` by the best path.
+def scan(base: DataFrame, projections: dict[str, Projection], table: TableSpec, constraints: list[Constraint], columns: list[str], path: AccessPath, newer: DataFrame | None = None) -> DataFrame:
+    """Rows and columns of ``table`` under ``constraints`` by ``path``.
 
-    A lookup restricts the base to the primary keys that the index finds, by a semi-join whose strategy
-    Catalyst chooses by size.
+    ``newer`` are the table's rows that were written after the path's projection.  A lookup restricts the base
+    to the primary keys that the index finds and those written since, by a semi-join whose strategy Catalyst
+    chooses by size.
     """
-    path = choose(table, constraints, columns, set(projections))
-    where = conjunction(constraints)
+    where, key = conjunction(constraints), list(table.primary_key)
     if path.mode == "covering":
-        return projections[path.path].filter(where).select(*columns), path
+        p = projections[path.path].rows.filter(where)
+        return (p if newer is None else replaced(p, newer, key).filter(where)).select(*columns)
     if path.mode == "lookup":
-        p = projections[path.path]
-        keys = p.filter(conjunction([c for c in constraints if c.column in p.columns])).select(*table.primary_key)
-        return base.filter(where).join(keys, list(table.primary_key), "left_semi").select(*columns), path
-    return base.filter(where).select(*columns), path
+        p = projections[path.path].rows
+        keys = p.filter(conjunction([c for c in constraints if c.column in p.columns])).select(*key)
+        if newer is not None:
+            keys = keys.unionByName(newer.select(*key))
+        return base.filter(where).join(keys, key, "left_semi").select(*columns)
+    return base.filter(where).select(*columns)

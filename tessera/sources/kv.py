@@ -1,13 +1,11 @@
 """An ordered key-value store over the log: points, ranges, prefixes, reductions, snapshots, pruning.
 
-The state is the last value of each key in a base table and the batches after it.  A prune writes a new base;
-trimming the log first folds it into a base, so that state never depends on what was trimmed.
+The state is the last value of each key in a base table and the batches after it, both sorted by key.  A prune
+writes a new base; trimming the log takes nothing from the state.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -62,25 +60,19 @@ class KvStore:
         if bad.limit(1).count():
             raise ValueError("a key or value is null or too long")
         order = F.col("ord").cast("long") if "ord" in df.columns else F.monotonically_increasing_id()
-        return self.log.commit({"kv": df.select(order.alias("ord"), F.concat(F.lit(bytearray(self.ns)), "key").alias("key"), "value")}).seq
+        rows = df.select(order.alias("ord"), F.concat(F.lit(bytearray(self.ns)), "key").alias("key"), "value")
+        return self.log.commit({"kv": rows.repartitionByRange("key").sortWithinPartitions("key")}).seq
 
     # state
 
-    def _base(self, upto: int | None = None) -> tuple[DataFrame | None, int]:
-        best = -1, None
-        for n in self.log.store.names("state"):
-            info = json.loads(self.log.store.read(f"state/{n}"))
-            if upto is None or info["seq"] <= upto:
-                best = max(best, (info["order"], n))
-        if best[1] is None:
-            return None, 0
-        info = json.loads(self.log.store.read(f"state/{best[1]}"))
-        return self.spark.read.schema(STATE).parquet(info["path"]), info["seq"]
-
     def state(self, at: int | None = None) -> DataFrame:
-        """key, value, seq: the last write of each key in batches up to ``at`` (default: current), with full keys."""
-        base, seq = self._base(at)
-        new = self.log.read("kv", seq, at, ENTRY)
+        """key, value, seq: the last write of each key in batches up to ``at`` (default: current), with full keys.
+
+        A snapshot that needs batches which are reclaimed raises BATCH_EVICTED.
+        """
+        found = self.log.base("kv", at)
+        base, seq = (self.spark.read.schema(STATE).parquet(found["path"]), found["seq"]) if found else (None, 0)
+        new = self.log.history("kv", seq, at, ENTRY)
         if new is None:
             return base if base is not None else self.spark.createDataFrame([], STATE)
         rows = new.select("key", "value", "seq", "ord")
@@ -161,11 +153,8 @@ class KvStore:
     # maintenance
 
     def _write_base(self, rows: DataFrame, seq: int) -> None:
-        path = f"{self.root}/base/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        order = 1 + max([json.loads(self.log.store.read(f"state/{n}"))["order"] for n in self.log.store.names("state")], default=0)
-        if not self.log.store.create(f"state/{order}.json", json.dumps({"order": order, "seq": seq, "path": path})):
-            raise RuntimeError("another writer changed the state")
+        """Dealt by ranges of keys and sorted, so that points and ranges read few files and row groups."""
+        self.log.write_base("kv", rows.repartitionByRange("key").sortWithinPartitions("key"), seq)
 
     def prune(self, policies: list[pruning.PrunePolicy]) -> None:
         """Rewrite the state; the log and its numbers stay as they are.  Pruning twice changes nothing more."""
@@ -174,11 +163,13 @@ class KvStore:
         self._write_base(pruning.apply(self.state(seq), own), seq)
 
     def compact(self) -> None:
+        """Fold the log into a base, and delete what was trimmed and is held by bases now."""
         seq = self.log.current()
         self._write_base(self.state(seq), seq)
+        self.log.reclaim()
 
     def retain(self, kind: str, n: int = 0) -> int:
-        self.compact()
+        """Trim the log once; the state does not change, nor do snapshots."""
         return self.log.retain(kind, n)
 
 

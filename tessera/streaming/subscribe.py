@@ -16,9 +16,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.predicates import Selector, ValueFilter, stream_filter
-from ..sources.log import CommitLog, LogError
+from ..sources.log import CommitLog, LogError, Store
 
 FORMAT = "tessera_log"
+LOOKAHEAD = 8  # batches that a micro-batch takes at most, unless told otherwise
 
 
 class _Part(InputPartition):
@@ -27,14 +28,19 @@ class _Part(InputPartition):
 
 
 class LogReader(DataSourceStreamReader):
-    """Lists manifests on the driver and reads a batch's files in tasks, through pyarrow's file systems."""
+    """Lists manifests on the driver and reads a batch's files in tasks, through pyarrow's file systems.
+
+    A micro-batch takes at most ``maxBatches`` batches after the last offset: the one handed out before, the
+    initial one, or, after a restart, the one that the checkpoint's offset log ends with.
+    """
 
     def __init__(self, schema: T.StructType, options: dict):
         from pyarrow import fs
 
+        options = {k.lower(): v for k, v in options.items()}
         self.schema, self.table, self.since = schema, options["table"], int(options.get("since", 0))
-        self.step = int(options.get("maxbatches", options.get("maxBatches", 0)))
-        self.root = options["root"]
+        self.step, self.until = int(options.get("maxbatches", LOOKAHEAD)), int(options.get("until", 1 << 62))
+        self.root, self.checkpoint = options["root"], options.get("checkpoint")
         self.fs, self.path = fs.FileSystem.from_uri(self.root)
         self.seen: int | None = None
 
@@ -43,24 +49,41 @@ class LogReader(DataSourceStreamReader):
 
         return [f.base_name for f in self.fs.get_file_info(fs.FileSelector(f"{self.path}/{folder}", allow_not_found=True))]
 
-    def _sequences(self) -> list[int]:
-        return sorted(int(n[:-5]) for n in self._names("manifest") if n.endswith(".json"))
-
     def _floor(self) -> int:
         return max((int(n[6:]) for n in self._names("retention") if n.startswith("floor-")), default=1)
 
+    def _top(self) -> int:
+        """The last published number."""
+        return max([*(int(n[:-5]) for n in self._names("manifest") if n.endswith(".json")), self._floor() - 1, 0])
+
+    def _resumed(self) -> int | None:
+        """The offset that the checkpoint ends with; None in a new one."""
+        from pyarrow import fs
+
+        if not self.checkpoint:
+            return None
+        store, path = fs.FileSystem.from_uri(self.checkpoint if ":" in self.checkpoint else f"file://{self.checkpoint}")
+        found = store.get_file_info(fs.FileSelector(f"{path}/offsets", allow_not_found=True))
+        last = max((int(f.base_name) for f in found if f.base_name.isdigit()), default=None)
+        if last is None:
+            return None
+        with store.open_input_stream(f"{path}/offsets/{last}") as f:
+            return int(json.loads(f.read().decode().splitlines()[-1])["seq"])
+
     def initialOffset(self) -> dict:
-        if not self.since:
-            return {"seq": max([*self._sequences(), self._floor() - 1, 0])}
-        if self.since < self._floor():
-            raise LogError("BATCH_EVICTED", f"{self.since} is evicted", self._floor())
+        floor, top = self._floor(), self._top()
+        if self.since and self.since < floor:
+            raise LogError("BATCH_EVICTED", f"{self.since} is evicted", floor)
         # beyond what is published: live only
-        return {"seq": min(self.since - 1, max([*self._sequences(), self._floor() - 1, 0]))}
+        self.seen = min(self.since - 1, top) if self.since else top
+        return {"seq": self.seen}
 
     def latestOffset(self) -> dict:
-        top = max([*self._sequences(), self._floor() - 1, 0])
-        if self.step and self.seen is not None:
-            top = min(top, self.seen + self.step)
+        if self.seen is None:
+            self.seen = self._resumed()
+        top = min(self._top(), self.until)
+        if self.seen is not None:
+            top = max(self.seen, min(top, self.seen + self.step) if self.step else top)
         self.seen = top
         return {"seq": top}
 
@@ -89,7 +112,7 @@ class LogReader(DataSourceStreamReader):
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in self.schema], names=[f.name for f in self.schema])
 
     def commit(self, end: dict) -> None:
-        self.seen = end["seq"]
+        pass
 
 
 class LogSource(DataSource):
@@ -104,60 +127,111 @@ class LogSource(DataSource):
         return LogReader(schema, dict(self.options))
 
 
-def stream(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None, since: int | None = None, max_batches: int | None = None) -> DataFrame:
-    """A streaming DataFrame of the table's rows with their batch number as ``seq``."""
+def stream(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None, since: int | None = None, max_batches: int | None = LOOKAHEAD, checkpoint: str | None = None, until: int | None = None) -> DataFrame:
+    """A streaming DataFrame of the table's rows with their batch number as ``seq``.
+
+    A micro-batch takes at most ``max_batches`` (None: all there are); with ``checkpoint`` also the first one
+    after a restart.  ``until`` is the last number that is read.
+    """
     spark.dataSource.register(LogSource)
     reader = spark.readStream.format(FORMAT).option("root", root).option("table", table).option("since", str(since or 0))
-    if max_batches:
-        reader = reader.option("maxBatches", str(max_batches))
+    reader = reader.option("maxBatches", str(max_batches or 0))
+    for name, value in (("checkpoint", checkpoint), ("until", until)):
+        if value is not None:
+            reader = reader.option(name, str(value))
     if schema is not None:
         reader = reader.schema(T.StructType([T.StructField("seq", T.LongType()), *[f for f in schema if f.name != "seq"]]))
     return reader.load()
 
 
-def each_sequence(rows: DataFrame, handle: Callable[[int, DataFrame], None], checkpoint: str, once: bool = False, name: str | None = None) -> StreamingQuery:
-    """Call ``handle(seq, rows)`` for each batch that has rows, in order; batches without any are left out."""
+class Subscription:
+    """A running subscription; one that is to end with what was published when it began does so when awaited."""
+
+    def __init__(self, query: StreamingQuery, once: bool):
+        self.query, self.once = query, once
+
+    def awaitTermination(self, timeout: int | None = None):
+        if self.once:
+            self.query.processAllAvailable()
+            self.query.stop()
+        return self.query.awaitTermination(timeout) if timeout is not None else self.query.awaitTermination()
+
+    def exception(self):
+        return self.query.exception()
 
-    def run(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        try:
-            for r in batch.select("seq").distinct().orderBy("seq").toLocalIterator():
-                handle(r.seq, batch.filter(F.col("seq") == r.seq))
-        finally:
-            batch.unpersist()
+    def stop(self) -> None:
+        self.query.stop()
+
+    @property
+    def isActive(self) -> bool:
+        return self.query.isActive
+
+    def processAllAvailable(self) -> None:
+        self.query.processAllAvailable()
+
+
+def each_sequence(rows: DataFrame, handle: Callable[[int, DataFrame], None], checkpoint: str, once: bool = False, name: str | None = None) -> Subscription:
+    """Call ``handle(seq, rows)`` for each batch that has rows, in order; batches without any are left out.
+
+    A micro-batch is read once: its rows are written by number below the checkpoint, and each call reads its own.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, folder = batch.sparkSession, f"{checkpoint.rstrip('/')}/frames/{number}"
+        store = Store(spark, checkpoint)
+        batch.withColumn("_seq", F.col("seq")).write.mode("overwrite").partitionBy("_seq").parquet(folder)
+        for seq in sorted(int(n[5:]) for n in store.names(f"frames/{number}") if n.startswith("_seq=")):
+            handle(seq, spark.read.schema(batch.schema).parquet(f"{folder}/_seq={seq}"))
+        store.delete(f"frames/{number}")
 
     writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    return Subscription(writer.trigger(processingTime="0 seconds" if once else "1 second").start(), once)
+
+
+def _subscribe(spark: SparkSession, root: str, table: str, schema: T.StructType | None, where, handle, checkpoint: str, since: int | None, once: bool, max_batches: int | None) -> Subscription:
+    until = CommitLog(spark, root).current() if once else None
+    rows = stream(spark, root, table, schema, since, max_batches, checkpoint, until)
+    return each_sequence(rows.filter(where), handle, checkpoint, once)
 
 
-def subscribe_log(spark: SparkSession, root: str, selectors: list[Selector], handle: Callable[[int, DataFrame], None], checkpoint: str, values: list[ValueFilter] | None = None, since: int | None = None, once: bool = False) -> StreamingQuery:
+def subscribe_log(spark: SparkSession, root: str, selectors: list[Selector], handle: Callable[[int, DataFrame], None], checkpoint: str, values: list[ValueFilter] | None = None, since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD) -> Subscription:
     """Entries of the key-value log that match, batch by batch."""
-    return each_sequence(stream(spark, root, "kv", since=since).filter(stream_filter(selectors, values)), handle, checkpoint, once)
+    return _subscribe(spark, root, "kv", None, stream_filter(selectors, values), handle, checkpoint, since, once, max_batches)
 
 
-def subscribe_sql(spark: SparkSession, root: str, table: str, schema: T.StructType, where: str, handle: Callable[[int, DataFrame], None], checkpoint: str, since: int | None = None, once: bool = False) -> StreamingQuery:
+def subscribe_sql(spark: SparkSession, root: str, table: str, schema: T.StructType, where: str, handle: Callable[[int, DataFrame], None], checkpoint: str, since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD) -> Subscription:
     """Rows of a typed table that satisfy a SQL predicate, batch by batch; a bad predicate fails at once."""
-    return each_sequence(stream(spark, root, table, schema, since).filter(F.expr(where)), handle, checkpoint, once)
+    return _subscribe(spark, root, table, schema, F.expr(where), handle, checkpoint, since, once, max_batches)
 
 
-def subscribe_operations(spark: SparkSession, root: str, handle: Callable[[int, DataFrame], None], checkpoint: str, where: str = "true", since: int | None = None, once: bool = False) -> StreamingQuery:
-    """Operations of an uploaded log, batch by batch.
+def subscribe_operations(spark: SparkSession, root: str, handle: Callable[..., None], checkpoint: str, where: str = "true", since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD, selectors: list[Selector] | None = None, values: list[ValueFilter] | None = None, prove: bool = False) -> Subscription:
+    """Operations of an uploaded log, batch by batch: those that any of ``selectors`` and ``values`` matches.
 
     A batch and its watermark are published as one, so whatever is seen is at or below the watermark; the
-    batch number is the cursor to resume from.
+    batch number is the cursor to resume from.  With ``prove`` the handler gets a third argument, the proof that
+    the operations are what the batch's head holds at their locations (operators/proofs.py).
     """
-    from ..sources.upload import OPS
+    from ..sources.upload import OPS, prove_batch
+
+    keep = F.expr(where)
+    if selectors or values:
+        keep = keep & stream_filter(selectors or [Selector(b"")], values)
+    log = CommitLog(spark, root)
+
+    def proven(seq: int, rows: DataFrame) -> None:
+        # a batch is what one client appended at once
+        handle(seq, rows, prove_batch(log, seq, [r.location for r in rows.select("location").collect()]))
 
-    return each_sequence(stream(spark, root, "ops", OPS, since).filter(F.expr(where)), handle, checkpoint, once)
+    return _subscribe(spark, root, "ops", OPS, keep, proven if prove else handle, checkpoint, since, once, max_batches)
 
 
-def subscribe_records(spark: SparkSession, root: str, kind: str, handle: Callable[[int, DataFrame], None], checkpoint: str, since: int | None = None, once: bool = False) -> StreamingQuery:
+def subscribe_records(spark: SparkSession, root: str, kind: str, handle: Callable[[int, DataFrame], None], checkpoint: str, since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD) -> Subscription:
     """Headers, blocks or certificates, as they are uploaded."""
     from ..artifacts import KINDS
 
-    return each_sequence(stream(spark, root, kind, KINDS[kind], since), handle, checkpoint, once)
+    return _subscribe(spark, root, kind, KINDS[kind], F.lit(True), handle, checkpoint, since, once, max_batches)
 
 
 def collect_sequences(log: CommitLog) -> list[Row]:

@@ -220,3 +220,110 @@ def test_workload(spark, root):
     ops = workload.operations(spark, 5000, 100, "balanced")
     share = {r.op: r["count"] / 5000 for r in ops.groupBy("op").count().collect()}
     assert all(abs(share[k] - v) < 0.03 for k, v in zip(("read", "write", "scan"), workload.MIXES["balanced"], strict=True))
+
+
+def test_indexes_follow_the_table(spark, engine):
+    names = [c.name for c in ORDERS.columns]
+    engine.evolve("orders_kv", [IndexSpec("region_customer", ("region", "customer_id"), ()), IndexSpec("by_region", ("region",), ("amount_cents",)), IndexSpec("z", ("customer_id", "amount_cents"), (), "z_order")])
+    engine.insert({"orders_kv": spark.createDataFrame(ROWS, names)})
+    engine.backfill("orders_kv")
+    engine.insert({"orders_kv": spark.createDataFrame([("us-east", 11, 4, 150, "paid"), ("eu", 13, 6, 700, "open")], names)})
+    asked = [([Constraint("region", "=", "eu")], ["order_id", "amount_cents"]), ([Constraint("region", "=", "eu")], ["order_id", "status"]), ([Constraint("customer_id", ">=", 11), Constraint("amount_cents", "<", 800)], ["order_id"])]
+
+    def check(e, at=None):
+        for cs, columns in asked:
+            where = " AND ".join(f"{c.column} {c.op} '{c.value}'" if isinstance(c.value, str) else f"{c.column} {c.op} {c.value}" for c in cs)
+            want = {tuple(r) for r in e.sql(f"SELECT {', '.join(columns)} FROM orders_kv WHERE {where}", at=at).collect()}
+            assert {tuple(r) for r in e.scan("orders_kv", cs, columns, at=at).collect()} == want
+
+    check(engine)
+    check(engine, at=1)
+    again = Engine(spark, engine.root)
+    again.register(engine.specs["orders_kv"])
+    assert again.explain_access_path("orders_kv", *asked[0]).mode == "covering"
+    check(again)
+    again.reindex("orders_kv")
+    again.insert({"orders_kv": spark.createDataFrame([("eu", 20, 1, 1, "open")], names)})
+    check(again)
+    check(again, at=2)  # before the projections: read from the table
+    again.log.retain("drop_all")
+    again.compact()
+    check(again)
+    assert again.sql("SELECT * FROM orders_kv").count() == 6
+
+
+def test_admission_and_one_scan_a_batch(spark, root, engine):
+    rows = spark.createDataFrame(ROWS, [c.name for c in ORDERS.columns])
+    for i in range(1, 6):
+        engine.insert({"orders_kv": rows.filter(f"order_id = {i}")})
+    seen = []
+
+    def handle(seq, df):
+        seen.append((int(df.inputFiles()[0].split("/frames/")[1].split("/")[0]), seq))  # the micro-batch, and the batch
+        assert [r.order_id for r in df.collect()] == [seq]
+
+    q = engine.subscribe("orders_kv", "true", handle, f"{root}/two", since=1, once=True, max_batches=2)
+    q.awaitTermination()
+    assert seen == [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5)]
+    engine.insert({"orders_kv": rows.filter("order_id = 1").replace(1, 6, ["order_id"])})
+    engine.insert({"orders_kv": rows.filter("order_id = 1").replace(1, 7, ["order_id"])})
+    engine.insert({"orders_kv": rows.filter("order_id = 1").replace(1, 8, ["order_id"])})
+    seen.clear()
+    engine.subscribe("orders_kv", "true", handle, f"{root}/two", since=1, once=True, max_batches=2).awaitTermination()
+    assert seen == [(3, 6), (3, 7), (4, 8)]
+
+
+def test_batches_are_prepared_staged_and_marked(spark, engine):
+    w = BatchWriter(engine)
+    assert w.prepare() is None and w.flush() is None
+    w.insert("orders_kv", ROWS[0])
+    batch = w.stage(w.prepare())
+    assert engine.log.current() == 0
+    with pytest.raises(ValueError):
+        w.stage(batch)
+    w.mark_failed(batch)
+    with pytest.raises(ValueError):
+        w.commit(batch)
+    w.insert("orders_kv", ROWS[1])
+    publish, engine.log.publish = engine.log.publish, lambda staged: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        w.flush()
+    engine.log.publish = publish
+    assert len(w.failed) == 2 and w.flush() == 2 and not w.failed
+    assert [(r.seq, r.order_id) for r in engine.log.read("orders_kv").orderBy("seq").collect()] == [(1, 1), (2, 2)]
+    with pytest.raises(ValueError):
+        w.mark_failed(w.mark_persisted(batch, None) or batch)
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from tessera.sources import tables
+
+    conf = N(get=lambda *a: None)
+    cluster = N(conf=conf, sparkContext=N(master="spark://host:7077", getConf=lambda: conf, applicationId="a"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(cluster)
+
+
+def test_written_tables_are_forgotten(spark):
+    from tessera.sources.tables import forget, materialize
+
+    df = materialize(spark.range(5), "some")
+    path = df.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert os.path.exists(path)
+    forget(df)
+    assert not os.path.exists(path)
+
+
+def test_policies_in_one_pass(spark):
+    from tessera.operators.prune import PrunePolicy, Retain, apply
+
+    keys = [b"a" + bytes([i, j]) for i in range(3) for j in range(4)] + [b"b" + (v & (1 << 64) - 1).to_bytes(8, "big") for v in (-5, -1, 3, 9)] + [b"c" + v.to_bytes(8, "big") for v in (1, 2, 3)] + [b"d1", b"e", b"a"]
+    state = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
+    rx = r"(?s-u)^(?P<v>.{8})$"
+    policies = [PrunePolicy(b"a", r"(?s-u)^(?P<g>.)(?P<v>.)$", Retain("keep_latest", 2), ("g",), ("v", "bytes")), PrunePolicy(b"b", rx, Retain("keep_latest", 1), (), ("v", "i64_be")), PrunePolicy(b"c", rx, Retain("at_least", 2), (), ("v", "u64_be")), PrunePolicy(b"d", ".*", Retain("drop_all"))]
+    got = sorted(bytes(r.key) for r in apply(state, policies).collect())
+    assert got == sorted([b"a" + bytes([i, j]) for i in range(3) for j in (2, 3)] + [b"b" + (9).to_bytes(8, "big")] + [b"c" + v.to_bytes(8, "big") for v in (2, 3)] + [b"e", b"a"])

@@ -1,11 +1,14 @@
 """Hash trees, uploads, files."""
 
 import hashlib
+import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import proofs
 from tessera.operators.oplog import OpLog
+from tessera.operators.predicates import Selector, ValueFilter
 from tessera.sources import files
 from tessera.sources.upload import OpLogWriter, Poisoned
 from tessera.spec import ColumnSpec, TableSpec
@@ -36,18 +39,73 @@ def test_tree(spark, n):
         proofs.HashTree(df.filter("location > 0").unionByName(df.filter("location = 0").selectExpr("99L AS location", "key", "value")))
 
 
-def test_exclusion(spark):
-    ops = spark.createDataFrame([(i, bytearray(k), bytearray(b"v")) for i, k in enumerate([b"b", b"d", b"f"])], "location long, key binary, value binary")
-    links = OpLog(ops).successors(2)
-    assert proofs.exclusion(links, b"c") == (b"b", b"d")
-    assert proofs.exclusion(links, b"a") == proofs.exclusion(links, b"z") == (b"f", b"b")
+def test_small_trees_are_the_large_ones(spark):
+    for n in (1, 2, 7, 16):
+        hashes = [proofs.hash_leaf(b"%d" % i) for i in range(n)]
+        assert proofs.tree_root(hashes) == plain_root(hashes)
+        for some in ([0], [n - 1], list(range(n))):
+            p = proofs.prove_leaves(hashes, some)
+            proofs.verify(proofs.tree_root(hashes), p, {i: b"%d" % i for i in some})
+        f = proofs.Frontier()
+        for k, h in enumerate(hashes):
+            f.append(h)
+            assert f.root() == plain_root(hashes[: k + 1]) and f.size == k + 1
     with pytest.raises(proofs.ProofError):
-        proofs.exclusion(links, b"d")
+        proofs.prove_leaves(hashes, [16])
+
+
+def test_frontier_of_a_tree_goes_on(spark):
+    ops = spark.createDataFrame([(i, bytearray(b"k%d" % i), bytearray(b"v")) for i in range(11)], "location long, key binary, value binary")
+    whole, part = proofs.HashTree(ops), proofs.HashTree(ops.filter("location < 6"))
+    f = proofs.frontier(part)
+    assert f == proofs.frontier(whole, 6) and f.root() == part.root()
+    for i in range(6, 11):
+        f.append(proofs.hash_leaf(proofs.leaf_bytes(i, b"k%d" % i, b"v")))
+    assert f.root() == whole.root() and proofs.frontier(whole, 0).root() == proofs.Frontier().root()
+
+
+def test_keys_absence_and_ranges(spark):
+    from dataclasses import replace
+
+    names = [b"b", b"d", b"f", b"h", b"j"]
+    active = spark.createDataFrame([(bytearray(k), bytearray(b"v" + k)) for k in names], "key binary, value binary")
+    tree = proofs.KeyTree(active)
+    root = tree.root()
+    assert proofs.verify_keys(root, tree.prove([b"d", b"j"])) == {b"d": b"vd", b"j": b"vj"}
+    for key in (b"a", b"c", b"i", b"z"):
+        proofs.verify_absent(root, tree.prove_absent(key), key)
+    for key in names:
+        with pytest.raises(proofs.ProofError):
+            tree.prove_absent(key)
+        with pytest.raises(proofs.ProofError):
+            proofs.verify_absent(root, tree.prove_absent(b"c"), key)
+    with pytest.raises(proofs.ProofError):
+        tree.prove([b"c"])
+    for start, end in itertools.product([b"a", b"b", b"c", b"h", b"i", b"j", b"k"], [b"aa", b"b", b"e", b"j", b"z"]):
+        if start < end:
+            got = proofs.verify_range(root, tree.prove_range(start, end), start, end)
+            assert got == {k: b"v" + k for k in names if start <= k < end}
+    whole = tree.prove_range(b"c", b"i")
+    for k in range(len(whole.entries)):  # a range from which an entry is taken proves nothing
+        rest = [e for i, e in enumerate(whole.entries) if i != k]
+        less = proofs.KeyProof(tuple(rest), tree.tree.prove([e.place for e in rest]))
+        with pytest.raises(proofs.ProofError):
+            proofs.verify_range(root, less, b"c", b"i")
+    with pytest.raises(proofs.ProofError):
+        proofs.verify_range(root, tree.prove_range(b"c", b"e"), b"c", b"i")
+    forged = proofs.KeyProof((replace(whole.entries[0], value=b"x"), *whole.entries[1:]), whole.proof)
+    with pytest.raises(proofs.ProofError):
+        proofs.verify_keys(root, forged)
+    one = proofs.KeyTree(active.filter(F.col("key") == F.lit(bytearray(b"d"))))
+    proofs.verify_absent(one.root(), one.prove_absent(b"a"), b"a")
+    assert proofs.verify_range(one.root(), one.prove_range(b"a", b"z"), b"a", b"z") == {b"d": b"vd"}
 
 
 def test_upload_publishes_in_order_and_poisons(spark, root):
     w = OpLogWriter(spark, root)
-    w.append([(b"a", b"1"), (b"b", b"2")])
+    w.append([(b"a", b"1"), (b"b", b"2")]).result()
+    assert w.acknowledged() == 2 and w.published == 0 and w.log.current() == 0
+    assert w.log.store.names("log")  # staging has written files that no manifest names
     w.append([(b"a", None)])
     assert w.flush() == 3
     seen = []
@@ -56,12 +114,39 @@ def test_upload_publishes_in_order_and_poisons(spark, root):
     assert seen == [(1, 2), (2, 1)]
     log = OpLog(w.operations(), watermarks=w.watermarks())
     assert log.watermark() == 2 and [bytes(r.key) for r in log.active(2).collect()] == [b"b"]
-    w.waiting.append((4, w.pool.submit(lambda: 1 / 0)))
+    w.append([(b"c", b"3")]).result()
+    w.waiting.insert(0, (3, 4, w.pool.submit(lambda: 1 / 0)))
     with pytest.raises(ZeroDivisionError):
         w.flush()
     with pytest.raises(Poisoned):
         w.append([(b"d", b"")])
-    assert OpLogWriter(spark, root).next == 3
+    again = OpLogWriter(spark, root)
+    assert again.next == 3 and again.head == w.head
+    w.log.retain("drop_all")
+    assert OpLogWriter(spark, root).next == 3 and again.operations().count() == 3
+
+
+def test_operations_by_filters_with_proofs(spark, root):
+    w = OpLogWriter(spark, root)
+    w.append([(b"a1", b"x"), (b"b1", b"y"), (b"a2", None)])
+    w.append([(b"a3", b"xz"), (b"a4", b"q")])
+    w.flush()
+    heads = [bytes(m.head) for m in w.log.history("watermark").orderBy("location").collect()]
+    seen = []
+
+    def handle(seq, rows, proof):
+        got = {r.location: proofs.leaf_bytes(r.location, bytes(r.key), bytes(r.value)) for r in rows.collect()}
+        proofs.verify_batch(heads[seq - 1], proof, got)
+        for bad in ({k: v + b"x" for k, v in got.items()}, {}):
+            with pytest.raises(proofs.ProofError):
+                proofs.verify_batch(heads[seq - 1], proof, bad)
+        with pytest.raises(proofs.ProofError):
+            proofs.verify_batch(heads[seq % 2], proof, got)
+        seen.append((seq, sorted(got)))
+
+    q = subscribe_operations(spark, root, handle, f"{root}/cp", since=1, once=True, selectors=[Selector(b"a")], values=[ValueFilter("prefix", b"x")], prove=True)
+    q.awaitTermination()
+    assert seen == [(1, [0]), (2, [3])]
 
 
 def test_files(spark, tmp_path):

@@ -148,3 +148,73 @@ def test_matching_and_reduce(spark, root):
         s.reduce(ReduceSpec())
     with pytest.raises(ValueError):
         s.matching([])
+
+
+def test_snapshots_after_retention(spark, root):
+    s = KvStore(spark, root)
+    for i in range(4):
+        s.put([(b"k%d" % i, b"v"), (b"k", b"%d" % i)])
+    session = s.session()
+    assert session.get(b"k") == b"3"
+    s.put([(b"k", b"new")])
+    s.retain("keep_latest", 1)
+    assert len(pairs(session.range())) == 5 and session.get(b"k") == b"3" and s.get(b"k") == b"new"
+    assert pairs(s.range(at=2)) == [(b"k", b"1"), (b"k0", b"v"), (b"k1", b"v")]
+    s.compact()  # what bases hold is deleted
+    assert s.state().count() == 5 and s.get(b"k") == b"new" and s.log.store.names("evicted") == []
+    with pytest.raises(LogError) as e:
+        session.get(b"k")
+    assert e.value.code == "BATCH_EVICTED"
+    s.put([(b"z", b"1")])
+    assert s.get(b"z") == b"1" and s.state().count() == 6 and s.log.sequences() == [5, 6]
+
+
+def test_reclaim_waits_for_every_table(spark, root):
+    from tessera.sources.log import CommitLog
+
+    log = CommitLog(spark, root)
+    rows = spark.createDataFrame([(1,)], "x long")
+    log.commit({"a": rows, "b": rows})
+    log.commit({"a": rows})
+    log.retain("drop_all")
+    log.write_base("a", rows, 2)
+    assert log.reclaim() == 0 and log.history("b").count() == 1
+    log.write_base("b", rows, 1)
+    assert log.reclaim() == 2 and log.history("b", after=2) is None
+    with pytest.raises(LogError):
+        log.history("b")
+
+
+def test_standing_retention_and_bundles(spark, root, monkeypatch):
+    from tessera.sources import log as logs
+
+    monkeypatch.setattr(logs, "BUNDLE", 3)
+    log = logs.CommitLog(spark, root)
+    rows = spark.createDataFrame([(1,)], "x long")
+    for _ in range(4):
+        log.commit({"a": rows})
+    assert log.store.names("bundle") == ["3.json"]
+    fresh = logs.CommitLog(spark, root)
+    assert [r.seq for r in fresh.read("a").orderBy("seq").collect()] == [1, 2, 3, 4] and fresh._bundles == {3}
+    assert log.set_retention("keep_latest", 2) == 3
+    log.commit({"a": rows})
+    assert log.sequences() == [4, 5] and logs.CommitLog(spark, root).retention() == ("keep_latest", 2)
+    log.set_retention(None)
+    log.commit({"a": rows})
+    assert log.sequences() == [4, 5, 6] and log.history("a").count() == 6
+    with pytest.raises(ValueError):
+        log.set_retention("some", 1)
+
+
+def test_points_are_read_from_few_row_groups(spark, root):
+    from tessera import workload
+
+    s = KvStore(spark, root)
+    s.put_frame(workload.entries(spark, 3000).select("key", "value"))
+    s.compact()
+    path = s.log.base("kv")["path"]
+    files = spark.read.parquet(path).selectExpr("_metadata.file_path AS f", "key").groupBy("f").agg({"key": "min"}).count()
+    key = bytes(s.state().first().key)
+    assert s.get(key) is not None and files >= 1
+    plan = s._own().filter("key = X'00'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(key), EqualTo(key" in plan
