@@ -313,14 +313,15 @@ def verify_range(root: bytes, proof: KeyProof, start: bytes, end: bytes) -> dict
     ``start`` to one whose next key is not below ``end``."""
     _verified(root, proof)
     inside = sorted((e for e in proof.entries if start <= e.key < end), key=lambda e: e.key)
-    before = [e for e in proof.entries if not start <= e.key < end]
-    if len(before) > 1 or (before and not before[0].spans(start)) or (not before and (not inside or inside[0].key != start)):
+    spanning = next((e for e in proof.entries if e.spans(start)), None)
+    if not spanning and (not inside or inside[0].key != start):
         raise ProofError("the range's beginning is not proven")
-    links = [*before, *inside]
+    links = [*([spanning] if spanning else []), *inside]
+    # the key before the range may be its last one, which links to the first
     if any(a.next_key != b.key for a, b in zip(links, links[1:], strict=False)):
         raise ProofError("a key of the range may be missing")
     last = links[-1]
-    wraps = last.next_key <= last.key and not (last in before and start < last.next_key)
+    wraps = last.next_key <= last.key and (bool(inside) or last.key < start)
     if not (wraps or last.next_key >= end):
         raise ProofError("the range's end is not proven")
     return {e.key: e.value for e in inside}

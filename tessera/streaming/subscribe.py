@@ -43,6 +43,7 @@ class LogReader(DataSourceStreamReader):
         self.root, self.checkpoint = options["root"], options.get("checkpoint")
         self.fs, self.path = fs.FileSystem.from_uri(self.root)
         self.seen: int | None = None
+        self.first: int | None = None
 
     def _names(self, folder: str) -> list[str]:
         from pyarrow import fs
@@ -70,22 +71,26 @@ class LogReader(DataSourceStreamReader):
         with store.open_input_stream(f"{path}/offsets/{last}") as f:
             return int(json.loads(f.read().decode().splitlines()[-1])["seq"])
 
+    def _start(self) -> int:
+        if self.first is None:
+            floor, top = self._floor(), self._top()
+            if self.since and self.since < floor:
+                raise LogError("BATCH_EVICTED", f"{self.since} is evicted", floor)
+            # beyond what is published: live only
+            self.first = min(self.since - 1, top) if self.since else top
+        return self.first
+
     def initialOffset(self) -> dict:
-        floor, top = self._floor(), self._top()
-        if self.since and self.since < floor:
-            raise LogError("BATCH_EVICTED", f"{self.since} is evicted", floor)
-        # beyond what is published: live only
-        self.seen = min(self.since - 1, top) if self.since else top
-        return {"seq": self.seen}
+        return {"seq": self._start()}
 
     def latestOffset(self) -> dict:
+        """Spark asks for it before it asks where to start, and does not tell where it is."""
         if self.seen is None:
-            self.seen = self._resumed()
+            resumed = self._resumed()
+            self.seen = self._start() if resumed is None else resumed
         top = min(self._top(), self.until)
-        if self.seen is not None:
-            top = max(self.seen, min(top, self.seen + self.step) if self.step else top)
-        self.seen = top
-        return {"seq": top}
+        self.seen = max(self.seen, min(top, self.seen + self.step) if self.step else top)
+        return {"seq": self.seen}
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
         from pyarrow import fs
