@@ -1,4 +1,4 @@
-"""python -m tessera sql DIR QUERY | tables DIR: SQL over a folder of Parquet tables."""
+"""python -m tessera sql DIR QUERY | tables DIR | seed ROOT N: SQL over a folder of Parquet tables; a seeded store."""
 
 from __future__ import annotations
 
@@ -8,10 +8,17 @@ import sys
 def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
 
-    if len(args) < 2 or args[0] not in ("sql", "tables") or (args[0] == "sql" and len(args) != 3):
+    if len(args) < 2 or args[0] not in ("sql", "tables", "seed") or (args[0] != "tables" and len(args) != 3):
         print(__doc__)
         return 2
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args[0] == "seed":
+        from . import workload
+        from .sources.kv import KvStore
+
+        seq = KvStore(spark, args[1]).put_frame(workload.entries(spark, int(args[2])).select("key", "value"))
+        print(f"{args[2]} entries in batch {seq}")
+        return 0
     from .sources.log import Store
 
     names = [n.removesuffix(".parquet") for n in Store(spark, args[1]).names("") if n.endswith(".parquet")]
