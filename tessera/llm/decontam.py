@@ -3,7 +3,7 @@
 Pass one counts every three-word run of the items over all documents.  The seeds are, of every four
 neighbouring runs of an item, the one that the corpus has least often of those that it has: each part of an
 item keeps a seed, however common the passage is, and the seeds are as rare as they can be.  Pass two joins
-passages to items by these seeds, in one automaton, and aligns each item with the words around its seeds.
+passages to items by these seeds, as numbers, and aligns each item with the words around its seeds.
 An edited copy beside a whole one may hold only runs that are not the rarest, so places where a document has
 other runs of an item are aligned too, unless they have too few of its words for the least score.  The score is the
 best local alignment's (match 2, mismatch and gap -1) as a share of the item's own; edited and paraphrased
@@ -12,22 +12,53 @@ copies lose a little for each edit.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .bpe import pieces
+from .shared import lean_batches, materialize
 
 GRAM, WINDOW, SCORE = 3, 4, 0.4
 BLOCK_CHARS = 4_000_000  # of item texts searched for at once; larger sets go in blocks
-WORDS = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, score double, start_word long, stop_word long"
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """Runs of letters, digits and underscores, in lower case."""
+    import pyarrow as pa
+
+    words, _ = batch_words(pa.array([text or ""]))
+    return words.to_pylist()
+
+
+def batch_words(texts) -> tuple:
+    """(words of all texts of an Arrow array in a row, how many each text has)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = np.full(256, 32, dtype=np.uint8)
+    table[128:] = np.arange(128, 256)
+    for c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
+        table[c] = table[ord(chr(c).upper())] = c
+    table[ord("_")] = ord("_")
+    # beyond ASCII only letters that are in lower case, and digits: whole buffers are mapped byte by byte
+    odd = pc.match_substring_regex(texts, r"[^\x00-\x7f\p{Ll}\p{Lo}\p{Lm}\pN]")
+    if pc.any(odd, min_count=0).as_py():
+        texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(pc.utf8_lower(texts.filter(odd)), r"[^\pL\pN_]+", " "))
+    _, ends, data = texts.buffers()
+    if data is not None:
+        mapped = pa.py_buffer(table[np.frombuffer(data, dtype=np.uint8)])
+        texts = type(texts).from_buffers(len(texts), ends, mapped, offset=texts.offset)
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    solid = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    run = np.concatenate([[0], np.cumsum(solid)])
+    stops = np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))
+    counts = np.diff(run[np.concatenate([[0], stops])])
+    return (flat if solid.all() else flat.filter(pa.array(solid))), counts
 
 
 def grams_of(words: list[str], n: int = GRAM) -> list[str]:
@@ -44,9 +75,11 @@ def seeds_of(grams: list[str], count: dict[str, int], window: int = WINDOW) -> s
     return {min(on, key=key) for on in near if on}
 
 
-def align(item, passage) -> tuple[int, int, int]:
+def align(item, passage, least: float = 1) -> tuple[int, int, int]:
     """(score, start, stop): best local alignment of two arrays of word numbers; the place is in ``passage``.
 
+    A score below ``least`` is given as 0, without a place.
+
     Row by row; a gap in the passage's direction is a running maximum, so each row is a few array steps.
     """
     import numpy as np
@@ -66,21 +99,61 @@ def align(item, passage) -> tuple[int, int, int]:
         return top, end, used
 
     top, stop, used = best(item, passage)
-    if not top:
+    if top < max(least, 1):
         return 0, 0, 0
     _, back, _ = best(item[:used][::-1], passage[:stop][::-1])
     return top, stop - back, stop
 
 
-def _automaton(words):
-    import ahocorasick
+class Runs:
+    """Known runs of words, as numbers: each place of a text where one stands is found by array steps."""
+
+    def __init__(self, grams: list[str]):
+        import numpy as np
+        import pyarrow as pa
+
+        words = sorted({w for g in grams for w in g.split(" ")})
+        self.words, self.n = pa.array(words, pa.string()), len(words)
+        self.number = {w: i for i, w in enumerate(words)}
+        self.by_length = []
+        for length in sorted({g.count(" ") + 1 for g in grams}):
+            own = [(self._code([self.number[w] for w in g.split(" ")]), i) for i, g in enumerate(grams) if g.count(" ") + 1 == length]
+            codes, at = zip(*sorted(own), strict=True)
+            self.by_length.append((length, np.array(codes, dtype=np.int64), np.array(at, dtype=np.int64)))
+
+    def _code(self, numbers):
+        code = numbers[0]
+        for x in numbers[1:]:
+            code = code * self.n + x
+        return code
+
+    def numbers(self, texts) -> tuple:
+        """(number of each word of all texts, -1 if it is in no run; which text it is of; how many each text has)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        words, counts = batch_words(texts)
+        value_set = self.words.cast(words.type)
+        numbers = np.asarray(pc.fill_null(pc.index_in(words, value_set=value_set), -1), dtype=np.int64)
+        return numbers, np.repeat(np.arange(len(counts)), counts), counts
+
+    def find(self, numbers, of) -> tuple:
+        """(place of the first word, words, number of the run) of each run that stands in a text."""
+        import numpy as np
 
-    a = ahocorasick.Automaton()
-    for i, w in enumerate(words):
-        a.add_word(f" {w} ", i)
-    if len(a):
-        a.make_automaton()
-    return a
+        out = [(np.zeros(0, dtype=np.int64),) * 3]
+        for length, codes, at in self.by_length:
+            known = numbers >= 0
+            here = known[: len(numbers) - length + 1].copy()
+            for k in range(1, length):
+                here &= known[k : len(numbers) - length + 1 + k]
+            place = np.flatnonzero(here)
+            place = place[of[place] == of[place + length - 1]]
+            code = self._code([numbers[place + k] for k in range(length)])
+            i = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[i] == code
+            out.append((place[hit], np.full(hit.sum(), length), at[i[hit]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _counter(grams: list[str]):
@@ -88,60 +161,71 @@ def _counter(grams: list[str]):
         import numpy as np
         import pyarrow as pa
 
-        auto, total = _automaton(grams), np.zeros(len(grams), dtype=np.int64)
+        runs, total = Runs(grams), np.zeros(len(grams), dtype=np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                line = f" {' '.join(words_of(t.as_py()))} "
-                if at := [i for _, i in auto.iter(line)]:
-                    np.add.at(total, at, 1)
+            for a, b in pieces(batch.column(0)):
+                numbers, of, _ = runs.numbers(batch.column(0).slice(a, b - a))
+                total += np.bincount(runs.find(numbers, of)[2], minlength=len(grams))
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["gram", "n"])
 
     return count
 
 
-def _finder(items: list[tuple[int, list[str]]], runs: list[str], owners: list[list[tuple[int, bool]]], least: float):
+def _finder(items: list[tuple[int, list[str]]], grams: list[str], owners: list[list[tuple[int, bool]]], least: float):
     """``owners``: of each run, the items that have it, and if it is a seed of the item."""
 
     def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        auto = _automaton(runs)
-        number: dict[str, int] = {}
-        coded = [np.array([number.setdefault(w, len(number)) for w in ws]) for _, ws in items]
+        runs = Runs(grams)
+        # words that are in no run that occurs count as words that stand nowhere
+        coded = [np.array([runs.number.get(w, -2) for w in ws]) for _, ws in items]
+        many = np.array([len(o) for o in owners], dtype=np.int64)
+        first = np.cumsum(many) - many
+        owner = np.array([i for o in owners for i, _ in o], dtype=np.int64)
+        seeds = np.array([s for o in owners for _, s in o], dtype=bool)
+        near = np.zeros(runs.n + 2, dtype=bool)  # the last two are for words without a number
         for batch in batches:
             out = []
-            for doc, t in zip(batch.column(0), batch.column(1), strict=True):
-                words = words_of(t.as_py())
-                line = f" {' '.join(words)} "
-                hits: dict[int, dict[int, bool]] = {}
-                for end, run in auto.iter(line):
-                    for item, seed in owners[run]:
-                        ends = hits.setdefault(item, {})
-                        ends[end] = seed or ends.get(end, False)
-                if not hits:
+            ids = batch.column(0)
+            for a, b in pieces(batch.column(1)):
+                numbers, of, counts = runs.numbers(batch.column(1).slice(a, b - a))
+                place, length, run = runs.find(numbers, of)
+                if not len(place):
                     continue
-                # the word that a position of the line is in
-                starts = np.cumsum([1, *(len(w) + 1 for w in words)])
-                nums = np.fromiter((number.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-                for item, ends in hits.items():
-                    own = coded[item]
-                    reach = 2 * len(own) + GRAM
-                    order = sorted(ends)
-                    at, rare = np.searchsorted(starts, order, side="right"), np.array([ends[e] for e in order])
-                    cuts = np.flatnonzero(np.diff(at) > 2 * reach) + 1
-                    best = (0, 0, 0)
-                    for group, seeded in zip(np.split(at, cuts), np.split(rare, cuts), strict=True):
-                        lo, hi = max(0, int(group[0]) - reach), min(len(words), int(group[-1]) + reach)
+                start = np.cumsum(counts) - counts
+                n = many[run]
+                own = np.repeat(first[run], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                item, seed, at = owner[own], seeds[own], np.repeat(place + length, n)
+                text = of[np.repeat(place, n)]
+                order = np.lexsort((at, item, text))
+                text, item, at, seed = text[order], item[order], at[order], seed[order]
+                reach = np.array([2 * len(c) + GRAM for c in coded])[item]
+                pair = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
+                group = np.flatnonzero(pair | np.concatenate([[True], np.diff(at) > 2 * reach[1:]]))
+                stop = np.append(group[1:], len(at))
+                rare = np.logical_or.reduceat(seed, group)
+                best: dict[tuple[int, int], tuple] = {}
+                for g, h, seeded in zip(group.tolist(), stop.tolist(), rare.tolist(), strict=True):
+                    t, k = int(text[g]), int(item[g])
+                    lo, hi = max(int(start[t]), int(at[g] - reach[g])), min(int(start[t] + counts[t]), int(at[h - 1] + reach[g]))
+                    window, words = numbers[lo:hi], coded[k]
+                    if not seeded:
                         # a word of the item that is not near scores nothing, so this score cannot be reached
-                        if not seeded.any() and np.isin(own, nums[lo:hi]).sum() / len(own) < least:
+                        near[window] = True
+                        near[-2:] = False
+                        share = near[words].sum() / len(words)
+                        near[window] = False
+                        if share < least:
                             continue
-                        score, a, b = align(own, nums[lo:hi])
-                        best = max(best, (score, -(lo + a), lo + b))
-                    share = best[0] / (2 * len(own))
+                    score, x, y = align(words, window, 2 * len(words) * least - 1e-6)
+                    best[t, k] = max(best.get((t, k), (0, 0, 0)), (score, -(lo + x - int(start[t])), lo + y - int(start[t])))
+                for (t, k), (score, x, y) in best.items():
+                    share = score / (2 * len(coded[k]))
                     if share >= least:
-                        out.append((doc.as_py(), items[item][0], share, -best[1], best[2]))
+                        out.append((ids[a + t].as_py(), items[k][0], share, -x, y))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "start_word", "stop_word"])
@@ -168,6 +252,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     result; extra columns are dropped.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL")
+    lean_batches(df.sparkSession)
     out = None
     for items in _blocks(benchmark, item_col, item_text):
         grams = sorted({g for _, w in items for g in grams_of(w)})
@@ -182,8 +267,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             for g in dict.fromkeys(own):
                 if g in count:
                     owners.setdefault(g, []).append((k, g in seeds))
-        runs = sorted(owners)
-        found = docs.mapInArrow(_finder(items, runs, [owners[g] for g in runs], least), FOUND)
+        # every run of the items, so that all their words have numbers; those that do not occur are nobody's
+        found = docs.mapInArrow(_finder(items, grams, [owners.get(g, []) for g in grams], least), FOUND)
         out = found if out is None else out.union(found)
     return out if out is not None else df.sparkSession.createDataFrame([], FOUND)
 
@@ -193,8 +278,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     # texts, not ids, are dropped: ids may be null or shared
     key = F.xxhash64(F.col(f"`{text_col}`"))
     keyed = df.select(F.col(f"`{text_col}`").alias("text"), key.alias("doc_id"))
-    bad = contaminated(keyed, benchmark, least=least).select(F.col("doc_id").alias("_bad")).distinct()
-    return df.join(materialize(bad, "dc_bad"), key == F.col("_bad"), "left_anti")
+    name = next(n for i in range(len(df.columns) + 1) if (n := f"_bad{i}") not in {c.lower() for c in df.columns})
+    bad = contaminated(keyed, benchmark, least=least).select(F.col("doc_id").alias(name)).distinct()
+    return df.join(materialize(bad, "dc_bad"), key == F.col(name), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
