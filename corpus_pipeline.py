@@ -6,16 +6,24 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, mix, neardup, tokenbin
 from tessera.llm.shared import materialize
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with numbers for column names, so that none can clash with an operator's own; and the names."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no text or no letter); the rest stay with the language found."""
     model = langid.fit(docs.filter(~langid.held_out()))
-    found = langid.predict(docs, model).filter("lang_pred <> 'und'")
-    return found.withColumn("lang", found["lang_pred"]).select(*docs.columns)
+    own, name = numbered(docs)
+    found = langid.predict(own, model, name["text"]).filter("lang_pred <> 'und'")
+    return found.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in name.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +38,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target weights; a document that is taken twice is there twice."""
-    return mix.repeat(mix.mix(docs)).select(*docs.columns)
+    own, name = numbered(docs)
+    taken = mix.repeat(mix.mix(own, name["doc_id"], name["text"], name["source"]))
+    return taken.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
