@@ -47,7 +47,7 @@ class Features:
 
         self.np = np
         self.letter = np.zeros(0x110000, dtype=bool)
-        self.letter[[c for c in range(0x30000) if unicodedata.category(chr(c))[0] == "L"]] = True
+        self.letter[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]] = True
 
     def __call__(self, text: str | None):
         np = self.np
