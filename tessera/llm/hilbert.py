@@ -80,6 +80,13 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     salt = F.pmod(F.xxhash64("text_crc32", "doc_id"), F.col("_salts"))
     salted = coded.join(small(counts, counts.count()), "_cell").withColumn("_salt", salt)
     groups = salted.groupBy("curve", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    # rows that repeat have one salt; where they are many they are split by their places
+    heavy = materialize(groups.filter(F.col("_n") > 4 * GROUP_ROWS).select(F.col("curve").alias("_hc"), F.col("_salt").alias("_hs"), F.ceil(F.col("_n") / GROUP_ROWS).cast("long").alias("_more")), "shard_heavy")
+    if many := heavy.count():
+        part = F.when(F.col("_more").isNotNull(), F.pmod(F.xxhash64("_place"), F.col("_more")) + 1).otherwise(0)
+        salted = salted.join(small(heavy, many), (F.col("curve") == F.col("_hc")) & (F.col("_salt") == F.col("_hs")), "left")
+        salted = salted.withColumn("_salt", F.col("_salt") * (1 << 32) + part).drop("_hc", "_hs", "_more")
+        groups = salted.groupBy("curve", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     high = F.shiftright("curve", 5)
     groups = materialize(groups.withColumn("_high", high), "shard_groups")
     # two levels of running sums: no single task sees all groups
@@ -95,12 +102,18 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     return out.select(*keys, "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "curve", F.col("_shard").cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", **options) -> None:
-    """Write ``df`` by shard, rows along the curve, so that file statistics are narrow in every dimension."""
-    # rows are numbered, and written so that the numbers stay: ids may be null or shared
-    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "shard_input")
-    plan = shard(rows, id_col=id_col, key="_row", **options).select("_row", "shard", "slot")
-    out = rows.join(plan, "_row").drop("_row")
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), **options) -> None:
+    """Write ``df`` by shard, rows along the curve, so that file statistics are narrow in every dimension.
+
+    Files have the columns of ``df`` and, in place of any of those names, ``shard`` and ``slot``.
+    """
+    # rows and columns are numbered: ids may be null or shared, and names may clash
+    number = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    rows = materialize(df.toDF(*number.values()).withColumn("_row", F.monotonically_increasing_id()), "shard_input")
+    plan = shard(rows, id_col=number[id_col], text_col=number[text_col], dims=tuple(number[d] for d in dims), key="_row", **options)
+    plan = plan.select(F.col("_row").alias("_planned"), "shard", "slot")
+    out = rows.join(plan, F.col("_row") == F.col("_planned"))
+    out = out.select(*[F.col(n).alias(c) for c, n in number.items() if c.lower() not in ("shard", "slot")], "shard", "slot")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -122,3 +122,35 @@ def test_shard_files_hold_each_row_in_its_slot(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((d or -1, t) for d, t, _, _ in rows)
     assert sorted((r.shard, r.slot) for r in got) == [(k, j) for k in range(6) for j in range(20)]
+
+
+def test_shard_files_with_clashing_columns_are_pruned_in_every_dimension(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "x" * 2 ** rng.randint(1, 9), f"s{rng.randrange(16):02}", f"l{rng.randrange(16):02}", i, "y", "z") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, shard int, slot string, _row string")
+    hilbert.write_shards(df, str(tmp_path / "out"), n_shards=40)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(got.columns) == sorted(df.columns) and got.filter("_row <> 'z'").count() == 0
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} == {100}
+    for dim in ("source", "lang", "length(text)"):
+        spans = got.groupBy("shard").agg(F.expr(f"min({dim})").alias("lo"), F.expr(f"max({dim})").alias("hi")).collect()
+        middle = sorted(r[0] for r in got.selectExpr(dim).collect())[2000]
+        assert sum(r.lo <= middle <= r.hi for r in spans) < 24  # the others' statistics leave them out
+
+
+def test_one_row_very_many_times(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "GROUP_ROWS", 16)
+    rows = [(1, "same", "s", "en")] * 700 + [(None, "same", "s", "en")] * 300 + [(i, f"t{i}", "s", "en") for i in range(2, 40)]
+    got = hilbert.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    counts = collections.Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(n)) for k, n in counts.items())
+
+
+def test_very_long_texts(spark):
+    long = "word, " * 400_000
+    got = {r.doc_id: r for r in mixed(spark, [(1, long, "s", 0, "x"), (2, "a b", "s", 0, "x")]).collect()}
+    assert got[1].size == 400_000 and got[2].size == 2
+    turns = spark.createDataFrame([(1, t, r, long) for t, r in enumerate(["user", "assistant", "assistant"])], "conv_id int, turn int, role string, text string")
+    (back,) = chat.read_chat(chat.format_chat(turns)).collect()
+    assert [t.text for t in back.turns] == [long] * 3 and back.loss_texts == [long] * 2
