@@ -28,7 +28,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the tables have no date
 SAMPLE_BYTES, DICT_BYTES = 1 << 20, 1 << 15
 MANIFEST = "name string, n_records long, n_bytes long"
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_id string, date string"
 
 
 class BadRecord(ValueError):
@@ -56,43 +56,102 @@ def make_record(page_id: int | None, row: int, url: str | None, payload: bytes,
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+KINDS = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+
+
+def _fields(head: bytes, where: str, repeat: tuple[str, ...] = ()) -> tuple[str, dict[str, str]]:
+    """(first line, fields by name in lower case); folded lines are joined."""
+    try:
+        first, *lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise BadRecord(f"{where} is no UTF-8") from e
+    fields: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon or not name or name != name.strip() or (name.lower() in fields and name.lower() not in repeat):
+            raise BadRecord(f"bad line in {where}: {line[:80]!r}")
+        name = name.lower()
+        fields[name] = value.strip() if name not in fields else f"{fields[name]} {value.strip()}"
+    return first, fields
+
+
+def _http(block: bytes) -> tuple[bytes, int | None]:
+    """(payload, its length as the HTTP head says it: None if it does not)."""
+    head, cut, payload = block.partition(b"\r\n\r\n")
+    if not cut or not head.startswith(b"HTTP/"):
+        raise BadRecord("no HTTP head")
+    said, chunked = None, False
+    for line in head.decode("latin-1").split("\r\n")[1:]:  # servers send what they like
+        name, _, value = line.partition(":")
+        if name.strip().lower() == "content-length" and value.strip().isascii() and value.strip().isdigit():
+            said = int(value)
+        chunked = chunked or name.strip().lower() == "transfer-encoding"
+    return payload, None if chunked else said
+
+
+def _number(uri: str | None) -> int | None:
+    """The page's id in one of this module's record ids; None in others."""
+    kind, _, rest = (uri or "").removeprefix("<urn:").removesuffix(">").partition(":")
+    page = rest.partition(":")[0]
+    return int(page) if kind == "x-page" and page.removeprefix("-").isascii() and page.removeprefix("-").isdigit() else None
+
+
 def parse_record(data: bytes) -> dict:
-    """Headers and payload of a record, after all checks; BadRecord says what is wrong."""
+    """Headers and payload of a record of any type, after all checks; BadRecord says what is wrong.
+
+    Version, headers, lengths, and digests by SHA-1 where they are given are checked.  The payload of a response
+    is what follows the HTTP head, a revisit has none, and that of other records is their block.
+    """
     from urllib.parse import unquote
 
     head, cut, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not cut or lines[0] != "WARC/1.1":
-        raise BadRecord(f"not a WARC/1.1 record: {lines[0][:40]!r}")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip() or name.lower() in headers:
-            raise BadRecord(f"bad header line {line[:80]!r}")
-        headers[name.lower()] = value.strip()
-    for need in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest", "warc-block-digest"):
+    first, headers = _fields(head, "the header", ("warc-concurrent-to",))
+    if not cut or first not in ("WARC/1.0", "WARC/1.1"):
+        raise BadRecord(f"not a WARC record: {first[:40]!r}")
+    for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in headers:
             raise BadRecord(f"no {need} header")
-    if not headers["content-length"].isdigit() or int(headers["content-length"]) != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
-        raise BadRecord(f"Content-Length {headers['content-length']} but {len(rest) - 4} bytes")
-    block = rest[:-4]
-    if headers["warc-block-digest"] != f"sha1:{digest(block)}":
-        raise BadRecord("the block's digest differs")
-    http, cut, payload = block.partition(b"\r\n\r\n")
-    said = dict(x.lower().split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:])
-    if not cut or not said.get("content-length", "").isdigit():
-        raise BadRecord("no length in the HTTP head")
-    kind, length = headers["warc-type"], int(said["content-length"])
-    if kind == "response":
-        if length != len(payload) or headers["warc-payload-digest"] != f"sha1:{digest(payload)}":
-            raise BadRecord("the payload differs from its length or digest")
-    elif kind != "revisit" or payload or headers.get("warc-profile") != PROFILE or "warc-refers-to" not in headers:
-        raise BadRecord(f"bad {kind} record")
-    number = lambda uri: None if (p := uri.strip("<>").split(":")[2]) == "null" else int(p)
-    uri = headers.get("warc-target-uri")
+    said = headers["content-length"]
+    if not (said.isascii() and said.isdigit()) or int(said) != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
+        raise BadRecord(f"Content-Length {said[:20]} but {len(rest) - 4} bytes")
+    block, kind = rest[:-4], headers["warc-type"].lower()
+    if kind not in KINDS:
+        raise BadRecord(f"no record type {kind[:40]!r}")
+
+    def check(name: str, content: bytes) -> None:
+        scheme, _, value = headers.get(name, "").partition(":")
+        if scheme.lower() == "sha1" and value.upper() != digest(content):
+            raise BadRecord(f"{name} differs")
+
+    check("warc-block-digest", block)
+    is_http = headers.get("content-type", "").partition(";")[0].strip().lower() == "application/http"
+    payload: bytes | None = block
+    length: int | None = len(block)
+    if kind == "revisit":
+        if "warc-profile" not in headers:
+            raise BadRecord("a revisit without a profile")
+        length = None
+        if block:
+            extra, length = _http(block)
+            if extra and headers["warc-profile"] == PROFILE:
+                raise BadRecord("a revisit with a payload")
+        payload = None
+    elif kind == "response" and is_http:
+        payload, length = _http(block)
+        if length is not None and length != len(payload) and "warc-truncated" not in headers:
+            raise BadRecord(f"the HTTP head says {length} bytes, the payload has {len(payload)}")
+        length = len(payload)
+        check("warc-payload-digest", payload)
+    known = headers.get("warc-payload-digest", "").partition(":")
+    value = known[2] if known[0].lower() == "sha1" else digest(payload) if payload is not None else None
+    uri, refers = headers.get("warc-target-uri"), headers.get("warc-refers-to")
     return {
-        "page_id": number(headers["warc-record-id"]), "url": None if uri is None else unquote(uri), "payload_bytes": length, "payload_digest": headers["warc-payload-digest"][5:],
-        "record_type": kind, "refers_to": number(headers["warc-refers-to"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None,
+        "page_id": _number(headers["warc-record-id"]), "url": None if uri is None else unquote(uri.strip("<>")), "payload_bytes": length, "payload_digest": value,
+        "record_type": kind, "refers_to": _number(refers), "payload": payload, "record_id": headers["warc-record-id"], "refers_to_id": refers, "date": headers["warc-date"],
     }
 
 
@@ -224,7 +283,7 @@ def write_warc(df: DataFrame, folder: str | None = None, page_col: str = "page_i
 def _reader(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    fields = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+    fields = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "record_id": pa.string(), "refers_to_id": pa.string(), "date": pa.string()}
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in fields.items()], names=list(fields))
@@ -240,14 +299,18 @@ def _reader(batches: Iterator) -> Iterator:
                     if held > 1 << 23 or len(rows) == 1000:
                         yield batch_of(rows)
                         rows, held = [], 0
-            if n != shard["n_records"]:
+            if shard["n_records"] is not None and n != shard["n_records"]:
                 raise BadRecord(f"{shard['name']} holds {n} records, the manifest says {shard['n_records']}")
             if rows:
                 yield batch_of(rows)
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (of responses) of every record."""
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits), record_id,
+    refers_to_id and date of every record of the shards that ``manifest`` (folder, name, n_records) names.
+
+    Records of any type are read; page_id and refers_to are null where ids are not this module's.
+    """
     return manifest.repartition(max(1, manifest.count())).mapInArrow(_reader, READ)
 
 
