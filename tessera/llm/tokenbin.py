@@ -72,8 +72,10 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str | None = None, end_i
     lean_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens"
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # rows that repeat are told apart by their place, so that any number of them can be dealt
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("_place")]
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    sorted_rows = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
     made = materialize(sorted_rows.mapInArrow(_writer(folder, tokenizer, end_id, width), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = {f"first_{k}": F.coalesce(F.sum(f"n_{k}").over(before), F.lit(0)).cast("long") for k in ("docs", "tokens")}
