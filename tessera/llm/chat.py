@@ -15,6 +15,7 @@ from .shared import materialize
 
 # The template's control strings.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+GROUP = 256  # turns whose spans are gathered together
 
 
 def escape(text: Column) -> Column:
@@ -69,8 +70,15 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         span = F.struct(a.alias("start"), (a + s["t"]).alias("stop"))
         return F.struct((a + s["t"]).alias("at"), F.when(s["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
+    # an array grows by copies, so spans are gathered in groups of turns first, and the groups' starts then
+    per = per.withColumn("steps", steps)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / GROUP).cast("int")), lambda g: F.aggregate(F.slice("steps", g * GROUP + 1, GROUP), start, add))
+    per = per.withColumn("groups", groups)
+    starts = F.aggregate("groups", F.array(F.lit(0).cast("long")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g["at"])))
+    per = per.withColumn("starts", starts)
+    moved = F.transform("groups", lambda g, i: F.transform(g["spans"], lambda s: F.struct((s["start"] + F.get("starts", i)).alias("start"), (s["stop"] + F.get("starts", i)).alias("stop"))))
     text = F.concat(F.array_join(F.flatten(F.zip_with("heads", "turns", lambda h, t: F.array(h, t["text"]))), ""), F.lit(END))
-    return per.select("conv_id", "n_turns", blocks.alias("n_blocks"), text.alias("formatted"), F.aggregate(steps, start, add)["spans"].alias("loss_spans"))
+    return per.select("conv_id", "n_turns", blocks.alias("n_blocks"), text.alias("formatted"), F.flatten(moved).alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
