@@ -83,7 +83,7 @@ class Engine:
         self.log.reclaim()
 
     def refresh(self, at: int | None = None) -> None:
-        """Point the SQL views at the snapshot ``at`` (default: now)."""
+        """Point the SQL views at the snapshot ``at`` (default: now); other engines of the session may share names."""
         for name in self.specs:
             self.table(name, at).createOrReplaceTempView(name)
 
@@ -109,12 +109,11 @@ class Engine:
 
     def insert(self, tables: dict[str, DataFrame]) -> Receipt:
         """Append rows to tables, all in one batch; a row with a known key replaces the old one."""
-        receipt = self.log.commit({name: self._checked(name, rows) for name, rows in tables.items()})
-        self.refresh()
-        return receipt
+        return self.log.commit({name: self._checked(name, rows) for name, rows in tables.items()})
 
     def insert_sql(self, name: str, select: str) -> int:
         """INSERT INTO name <select or VALUES>, returning the number of rows."""
+        self.refresh()
         rows = self.spark.sql(select)
         spec = self.specs[name]
         if len(rows.columns) != len(spec.columns):
@@ -278,9 +277,7 @@ class BatchWriter:
     def commit(self, batch: Prepared) -> Receipt:
         if batch.state != "staged":
             raise ValueError(f"a {batch.state} batch cannot be published")
-        receipt = self.engine.log.publish(batch.staged)
-        self.engine.refresh()
-        return receipt
+        return self.engine.log.publish(batch.staged)
 
     def mark_persisted(self, batch: Prepared, receipt: Receipt) -> Receipt:
         batch.state, batch.rows, batch.staged = "persisted", {}, None
