@@ -11,9 +11,13 @@ of ranks is opened.
 Bands of five coordinates bring texts together.  Within a bucket no pairs are listed.  A pivot (the member whose
 buckets are fullest, so the likely centre of its group) is compared with the others on their texts, and links are
 merged to components.  What has one pivot is one group from there on.  Groups that lie in one component are done;
-in the others every two members of different components are still compared, in blocks of bounded size: a
-task gets two blocks, counts all their shared elements at once, and gives only links that join components.  So no
-link between texts that share a band is given up, and no row is made for a pair.
+in the others every two members of different components whose sizes allow it are still compared, in blocks of
+bounded size that hold hashed sets instead of texts: a task gets two blocks, counts all their shared elements at
+once, and gives only links that join components.  So no link between texts that share a band is given up, and no
+row is made for a pair.
+
+Words are runs of letters and digits.  A text in a script without spaces between words is one or few words, so only
+its exact copies, and copies that share whole runs of five clauses, are found.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import forget, materialize
 from .worker import tool
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, WIDTH = 24, 5
-BLOCK = 128  # members in a block
+BLOCK, ELEMENTS = 128, 1 << 18  # members, and elements, in a block
+COLUMNS = 1 << 13  # elements that two blocks are compared by at once
 K = BANDS * WIDTH
 WORDS = re.compile(r"\w+")
 KEEP_WORDS = 500_000
@@ -248,55 +253,65 @@ def _verify(similar: float):
     return verify
 
 
+def _sets(batches: Iterator) -> Iterator:
+    """node, set (its sorted elements, eight bytes each) and their number, of (node, text)."""
+    import pyarrow as pa
+
+    cut = _tools()[0]
+    for batch in batches:
+        found = [cut.expanded(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(map(len, found), pa.int64())], names=["node", "set", "e"])
+
+
+def shared_counts(a: list, b: list, step: int = COLUMNS):
+    """How many elements each set of ``a`` shares with each of ``b``: products of 0-1 matrices, ``step`` elements at a time."""
+    import numpy as np
+
+    common = np.intersect1d(*(np.unique(np.concatenate(r)) for r in (a, b)), assume_unique=True)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for at in range(0, len(common), step):
+        some = common[at : at + step]
+        parts = []
+        for r in (a, b):
+            m = np.zeros((len(r), len(some)), dtype=np.float32)
+            for line, x in zip(m, r, strict=True):
+                lo, hi = np.searchsorted(x, some[0]), np.searchsorted(x, some[-1], side="right")
+                place = np.searchsorted(some, x[lo:hi])
+                line[place[some[place] == x[lo:hi]]] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def _between(similar: float):
-    """Links (a, b) between two blocks of (node, comp, text) that join different components."""
+    """Links (a, b) between two blocks of (node, comp, set) that join different components."""
 
     def between(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        cut, kept = _tools()[0], {}
-
         def block(rows):
-            out = []
-            for node, comp, text in zip(*(rows.field(i) for i in range(3)), strict=True):
-                node = node.as_py()
-                if node not in kept:
-                    if len(kept) >= 1024:
-                        kept.clear()
-                    kept[node] = cut.expanded(text.as_py())
-                out.append((node, comp.as_py(), kept[node]))
-            return out
-
-        def matrix(rows, common):
-            m = np.zeros((len(rows), len(common)), dtype=np.float32)
-            for line, (_, _, x) in zip(m, rows, strict=True):
-                at = np.searchsorted(common, x)
-                at[at == len(common)] = 0
-                line[at[common[at] == x]] = 1
-            return m
+            rows = rows.values
+            return rows.field(0).to_pylist(), rows.field(1).to_pylist(), [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.field(2)]
 
         for batch in batches:
             ends: tuple[list, list] = [], []
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = block(left.values), block(right.values)
-                common = np.intersect1d(*(np.unique(np.concatenate([x for _, _, x in r])) for r in (a, b)), assume_unique=True)
-                if not len(common):
-                    continue
-                shared = matrix(a, common) @ matrix(b, common).T
-                sizes = [np.array([len(x) for _, _, x in r]) for r in (a, b)]
+                (na, ca, a), (nb, cb, b) = block(left), block(right)
+                shared = shared_counts(a, b)
+                sizes = [np.array([len(x) for x in r]) for r in (a, b)]
                 found = shared / (sizes[0][:, None] + sizes[1][None, :] - shared) >= similar - 1e-9
                 up: dict[bytes, bytes] = {}
                 for i, j in zip(*np.nonzero(found), strict=True):
-                    p, q = a[i][1], b[j][1]
+                    p, q = ca[i], cb[j]
                     while p in up:
                         p = up[p]
                     while q in up:
                         q = up[q]
                     if p != q:
                         up[p] = q
-                        ends[0].append(a[i][0])
-                        ends[1].append(b[j][0])
+                        ends[0].append(na[i])
+                        ends[1].append(nb[j])
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], names=["a", "b"])
 
     return between
@@ -313,33 +328,44 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("_c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_m"))
         low = materialize(labels.join(near, "node").select("node", F.least("comp", "_m").alias("comp"), F.col("comp").alias("_old")), "labels")
         up = low.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
-        labels = materialize(low.join(up, "comp").select("node", F.col("_up").alias("comp"), (F.col("_up") != F.col("_old")).alias("_moved")), "labels")
+        before, labels = labels, materialize(low.join(up, "comp").select("node", F.col("_up").alias("comp"), (F.col("_up") != F.col("_old")).alias("_moved")), "labels")
+        forget(before, low)
         if not labels.filter("_moved").limit(1).count():
+            forget(both)
             return labels.select("node", "comp")
-        labels = labels.select("node", "comp")
 
 
-def _blocks(groups: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(left, right): pairs of blocks of (node, comp, text) that hold a group's members of different components.
+def _blocks(groups: DataFrame, comps: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(left, right): pairs of blocks of (node, comp, set) that hold a group's members of different components.
 
     A component of many members has blocks of its own, which need no comparison with each other; members of
-    small ones share blocks.  Groups in one component are left out, and of equal groups all but one.
+    small ones share blocks.  Blocks are of one class of set sizes, and only those of equal and neighbouring
+    classes meet: sets farther apart in size cannot be similar.  A block holds at most about BLOCK members and
+    ELEMENTS elements.  Groups in one component are left out, and of equal groups all but one.
     """
     groups = materialize(groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "dd_groups")
     parts = materialize(groups.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")), "dd_parts")
-    few = F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0))
-    live = parts.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), few.alias("few")).filter("many > 1")
-    live = materialize(live.groupBy("n", "x").agg(F.min(F.struct("h", "few")).alias("h")).select("h.h", "h.few"), "dd_live")
-    placed = groups.join(live, "h").join(parts.select("h", "comp", F.col("n").alias("own")), ["h", "comp"])
+    live = parts.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"), F.bit_xor("x").alias("x")).filter("many > 1")
+    live = materialize(live.groupBy("n", "x").agg(F.min("h").alias("h")).select("h"), "dd_live")
+    own = groups.join(live, "h").join(parts.select("h", "comp", F.col("n").alias("own")), ["h", "comp"])
+    sets = materialize(own.select("node").distinct().join(texts, "node").select("node", "text").mapInArrow(_sets, "node binary, set binary, e long"), "dd_sets")
+    # a little wider than the ratio of sizes that similar sets can have
+    size = F.floor(F.log("e") / F.lit(math.log(1 / similar) * (1 + 1e-9))).cast("int")
     large = F.col("own") >= BLOCK
-    slot = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("few") / BLOCK)))
-    placed = placed.select("h", "node", "comp", F.when(large, F.col("comp")).alias("alone"), slot.alias("slot")).join(texts, "node")
-    blocks = placed.groupBy("h", "alone", "slot").agg(F.collect_list(F.struct("node", "comp", "text")).alias("rows"))
-    blocks = materialize(blocks.withColumn("b", F.xxhash64("h", "alone", "slot")), "dd_blocks")
-    names = blocks.select("h", "alone", "b")
-    one, two = names.select("h", F.col("alone").alias("a1"), F.col("b").alias("b1")), names.select("h", F.col("alone").alias("a2"), F.col("b").alias("b2"))
+    own = own.join(sets.select("node", "e"), "node").select("h", "node", F.when(large, F.col("comp")).alias("alone"), "comp", size.alias("size"), "e")
+    placed = materialize(own, "dd_own")
+    often = placed.groupBy("h", "alone", "size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("e") / ELEMENTS)).alias("many"))
+    on = (F.col("h") == F.col("_h")) & F.col("alone").eqNullSafe(F.col("_alone")) & (F.col("size") == F.col("_size"))
+    placed = placed.join(often.toDF("_h", "_alone", "_size", "many"), on)
+    slot = F.pmod(F.xxhash64(F.when(F.col("alone").isNull(), F.col("comp")).otherwise(F.col("node"))), F.col("many"))
+    rows = placed.select("h", "alone", "size", slot.alias("slot"), "node", "comp").join(sets.select("node", "set"), "node")
+    blocks = rows.groupBy("h", "alone", "size", "slot").agg(F.collect_list(F.struct("node", "comp", "set")).alias("rows"))
+    blocks = materialize(blocks.withColumn("b", F.xxhash64("h", "alone", "size", "slot")), "dd_blocks")
+    one = blocks.select("h", F.col("alone").alias("a1"), F.col("size").alias("s1"), F.col("b").alias("b1"), F.explode(F.array("size", F.col("size") + 1)).alias("size"))
+    two = blocks.select("h", F.col("alone").alias("a2"), F.col("b").alias("b2"), "size")
     # pairs of blocks, not of members
-    pairs = materialize(one.join(two, "h").filter("b1 <= b2 AND NOT coalesce(a1 = a2, false)").select("b1", "b2"), "dd_block_pairs")
+    pairs = one.join(two, ["h", "size"]).filter("(s1 < size OR b1 <= b2) AND NOT coalesce(a1 = a2, false)")
+    pairs = materialize(pairs.select("b1", "b2"), "dd_block_pairs")
     left = blocks.select(F.col("b").alias("b1"), F.col("rows").alias("left"))
     return pairs.join(left, "b1").join(blocks.select(F.col("b").alias("b2"), F.col("rows").alias("right")), "b2").select("left", "right")
 
@@ -376,7 +402,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     comps = components(links)
     # all bands with one pivot are one group from here on; pivots have met their groups
     rest = pairs.select(F.xxhash64("a").alias("h"), F.col("b").alias("node"))
-    more = materialize(_blocks(rest, comps, texts).mapInArrow(_between(similar), "a binary, b binary"), "dd_more")
+    more = materialize(_blocks(rest, comps, texts, similar).mapInArrow(_between(similar), "a binary, b binary"), "dd_more")
     if more.limit(1).count():
         comps = components(links.union(more))
     named = nodes.select("node", "rep")
@@ -399,12 +425,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
     keep = nodes.filter("node = class_node").select(F.col("node").alias("_dd_n"), F.col("rep").alias("_dd_r"))
     again = documents.filter("node IS NOT NULL").groupBy("node", "doc_id").count().filter("count > 1").select(F.col("node").alias("_dd_m")).distinct()
     keep = materialize(keep.join(again, F.col("_dd_n") == F.col("_dd_m"), "left"), "dd_keep")
-    text, own = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in df.columns]
-    node = F.unhex(F.md5(text))
-    held = df.filter(text.isNotNull()).join(keep, (node == F.col("_dd_n")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_dd_r")))
-    once = held.filter("_dd_m IS NULL").select(*own)
-    repeated = held.filter("_dd_m IS NOT NULL").dropDuplicates(["_dd_n"]).select(*own)
-    return df.filter(text.isNull()).unionByName(once).unionByName(repeated)
+    # columns have numbers for names on the way, so that none can clash
+    number = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    own = df.toDF(*number.values())
+    text, doc = F.col(number[text_col]), F.col(number[id_col]).cast("long")
+    held = own.filter(text.isNotNull()).join(keep, (F.unhex(F.md5(text)) == F.col("_dd_n")) & doc.eqNullSafe(F.col("_dd_r")))
+    once = held.filter("_dd_m IS NULL").select(*number.values())
+    repeated = held.filter("_dd_m IS NOT NULL").dropDuplicates(["_dd_n"]).select(*number.values())
+    return own.filter(text.isNull()).unionByName(once).unionByName(repeated).toDF(*df.columns)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize, shared_dir
+from ..sources.tables import forget, materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "lean_batches", "local_path", "materialize", "open_fs", "shared_dir", "small", "without"]
+__all__ = ["BROADCAST_ROWS", "forget", "lean_batches", "local_path", "materialize", "open_fs", "shared_dir", "small", "without"]
 
 #: Rows up to which a per-source or per-dimension table is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 100_000
@@ -34,10 +34,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+#: Schemes of Spark's own connectors, and what pyarrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def open_fs(uri: str):
-    """(file system, path) of a shared folder, for Python workers; any scheme that pyarrow knows."""
+    """(file system, path) of a shared folder, for Python workers: what pyarrow knows, and Spark's names of it."""
     from pyarrow import fs
 
+    scheme, colon, rest = uri.partition("://")
+    if colon and scheme in SCHEMES:
+        uri = f"{SCHEMES[scheme]}://{rest.replace('.blob.core.', '.dfs.core.')}"
     return fs.FileSystem.from_uri(uri)
 
 

@@ -189,6 +189,32 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert kept == set(got.values()) and neardup.dedup(df).columns == df.columns
 
 
+def test_blocks_of_any_size_give_the_same_classes(spark, monkeypatch):
+    # one crowd that shares bands but not classes, of many sizes; tiny blocks, so that many of them meet
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[: rng.randint(60, 400)] + [f"own{k}x{j}" for j in range(rng.randint(0, 60))]) for k in range(60)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    for block, elements, columns in ((128, 1 << 18, 1 << 13), (3, 900, 50)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "ELEMENTS", elements)
+        assert {r.doc_id: r.class_id for r in neardup.classes(df)[0].collect()} == want
+    sets = [np.unique(np.array(rng.choices(range(500), k=rng.randint(1, 300)), dtype=np.uint64)) for _ in range(20)]
+    for step in (7, 1000):
+        got = neardup.shared_counts(sets[:8], sets[8:], step)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[8:]] for a in sets[:8]]
+
+
+def test_very_long_near_duplicates(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(rng, words, 3000))), (3, " ".join(reversed(words))), (4, " ".join(words[:150_000]))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicate_edges(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "A b c d e f."), (5, "A b c d e f."), (6, None), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -223,6 +249,11 @@ def test_language_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_letters_of_every_plane():
+    make = langid.Features()
+    assert make("\U00030000\U000323af") is not None and make("\U0001f642 12") is None
+
+
 def test_language_edges(spark):
     rows = [(i, t, x, "z") for i, (t, x) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("el gato y el perro", "es"), ("xx yy", "qq")] * 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
@@ -294,6 +325,34 @@ def test_contaminated_against_brute_force(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_batch_words_are_those_of_each_text():
+    texts = ["Déjà-vu, ÉTÉ_1 — “x”½ 12", "", " plain ASCII, only; _a_ ", "Привет,МИР", "中文 字符!", "\x00a\tb\u2028c", "e\u0301a"]
+    words, counts = decontam.batch_words(pa.array(["skipped", *texts]).slice(1))
+    split = np.split(np.array(words.to_pylist(), dtype=object), np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in split] == [re.findall(r"\w+", t.lower()) for t in texts]
+    assert [decontam.words_of(t) for t in texts] == [x.tolist() for x in split] and decontam.words_of(None) == []
+
+
+@pytest.mark.parametrize("every", [3, 4, 5, 7])
+def test_every_copy_with_a_run_of_three_words_is_found(spark, every):
+    # copies of many items, each edited in every part, beside whole ones and noise of the items' own words
+    rng = random.Random(every)
+    items = [(k, [f"w{rng.randrange(300)}" for _ in range(rng.randint(12, 60))]) for k in range(12)]
+    texts = []
+    for _, words in items:
+        for start in range(every):
+            texts.append([f"x{i}" if i % every == start else w for i, w in enumerate(words)])
+        texts.append(words)
+        texts.append(rng.sample([w for _, ws in items for w in ws], 40))
+    rng.shuffle(texts)
+    docs = docs_of(spark, [" ".join(t) for t in texts])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()}
+    runs = lambda w: set(zip(w, w[1:], w[2:], strict=False))
+    want = {(d, k): s for d, t in enumerate(texts) for k, w in items if runs(t) & runs(w) and (s := slow_align(w, t) / (2 * len(w))) >= decontam.SCORE}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(want) > 12 * (every > 3)
+
+
 def test_seeds_cover_every_window():
     grams = [str(i) for i in range(30)]
     count = {g: int(g) * 7 % 11 for g in grams}
