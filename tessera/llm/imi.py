@@ -7,8 +7,8 @@ by exact distance.
 
 Centroids are fitted on a bounded sample; every vector is indexed.  Neighbouring cells are packed to blocks of
 bounded size (a hot cell fills several), and queries meet blocks in bounded groups, so a hot cell is many tasks'
-work.  The share of vectors that a query passes is for data without clusters, where a recall of 0.9 takes that
-much; give a smaller one for embeddings that cluster.
+work.  How many vectors a query passes is measured on the sample: the share of it that must be passed to find its
+rows' true neighbours in it.  Data without clusters takes about half, embeddings that cluster little.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ SAMPLE_BYTES, SAMPLE_ROWS = 32 << 20, 20_000  # of the sample that centroids are
 MOST_CENTROIDS = 512  # so the table of cells has 2 ** 18 rows at most
 BLOCK, GROUP = 1024, 64  # vectors in a block, queries in a group
 PER_CELL = 8  # vectors in a cell on average, while the number of centroids allows it
-SHARE, LEAST, CELLS = 0.55, 2000, 24  # of the vectors, vectors, and non-empty cells, that a query passes at least
+LEAST, CELLS = 2000, 24  # vectors, and non-empty cells, that a query passes at least
+RECALL, TRIALS = 0.95, 200  # recall that the share of the vectors is measured for, on that many rows of the sample
 K = 10
 
 
@@ -79,9 +80,34 @@ def walk(da, db, count, candidates: int, cells: int) -> list[int]:
     return out
 
 
+def needed_share(x, ca, cb, k: int, recall: float = RECALL, trials: int = TRIALS) -> float:
+    """The least share of the vectors that queries must pass, in order of their cells, to find ``recall`` of the
+    ``k`` nearest; measured on ``x``, whose rows are farther apart than those of the whole, so it is rather too much.
+    """
+    import numpy as np
+
+    x = np.unique(x, axis=0)
+    if len(x) <= 2 * k:
+        return 1.0
+    a, b = halves(x)
+    cell_a, cell_b = nearest(a, ca), nearest(b, cb)
+    asked = np.random.default_rng(11).permutation(len(x))[:trials]
+    places = []
+    for i in asked:
+        exact = ((x - x[i]) ** 2).sum(1)
+        exact[i] = np.inf
+        near = np.argpartition(exact, k)[:k]
+        cost = ((a[i] - ca) ** 2).sum(1)[cell_a] + ((b[i] - cb) ** 2).sum(1)[cell_b]
+        order = np.sort(cost)
+        places.append(np.searchsorted(order, cost[near], side="right") / len(x))
+    return float(np.quantile(np.concatenate(places), recall))
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and v (array of doubles) of the vectors that take part."""
-    v = F.col(f"`{vec_col}`").cast("array<double>")
+    """vec_id and v (array of doubles, or of floats if that is what is given) of the vectors that take part."""
+    v = F.col(f"`{vec_col}`")
+    if df.select(v).dtypes[0][1] != "array<float>":
+        v = v.cast("array<double>")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     return rows.filter(fine)
@@ -101,10 +127,11 @@ def _top(ids, dist, k: int):
     return order[np.sort(first)][:k]
 
 
-def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, cells: int = CELLS) -> DataFrame:
+def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", share: float | None = None, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id ``every`` divides, the k nearest other rows found.
 
     Score is the Euclidean distance in double precision on the original vectors; ties go to the smaller id.
+    ``share`` of all vectors, in order of their cells, is what a query passes at least (default: as measured).
     Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
     nor do null ids, nor vectors whose length is not the most common one (the longer of equally common
     ones); an id on several rows is one candidate with its nearest vector, as a query it is its smallest
@@ -124,21 +151,25 @@ def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id",
     most = max(64, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
     part = min(1.0, 1.1 * most / n)
     seen = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(part * (1 << 30))).select("v").limit(2 * most).collect()
-    x = np.array([r["v"] for r in seen] or [r["v"] for r in rows.limit(1).collect()])
+    x = np.array([r["v"] for r in seen] or [r["v"] for r in rows.limit(1).collect()], dtype=np.float64)
+    kind = rows.dtypes[1][1]
     x = x[np.lexsort(x.T[:4][::-1])]
     pairs = max(1, min(MOST_CENTROIDS, round((n / PER_CELL) ** 0.5)))
     ca, cb = (kmeans(h, min(pairs, len(h))) if h.shape[1] else np.zeros((1, 0)) for h in halves(x))
+    if share is None:
+        share = needed_share(x, ca, cb, k)
 
     def assign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            v = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
+            v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
             a, b = halves(v)
             cell = nearest(a, ca) * len(cb) + nearest(b, cb)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), batch.column(1)], names=["vec_id", "cell", "v"])
 
-    index = materialize(rows.mapInArrow(assign, "vec_id long, cell int, v array<double>"), "imi_index")
+    index = rows.mapInArrow(assign, f"vec_id long, cell int, v {kind}").withColumn("place", F.monotonically_increasing_id())
+    index = materialize(index, "imi_index")
     # one row a cell: at most MOST_CENTROIDS ** 2
     count = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     candidates = max(k + 1, LEAST, int(share * n))
@@ -154,7 +185,7 @@ def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id",
         import pyarrow as pa
 
         for batch in batches:
-            v = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
+            v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
             da, db = ((h * h).sum(1)[:, None] - 2 * h @ c.T + (c * c).sum(1) for h, c in zip(halves(v), (ca, cb), strict=True))
             for i, q in enumerate(batch.column(0).to_pylist()):
                 at: dict[int, list[int]] = {}
@@ -171,7 +202,7 @@ def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id",
     asked = probes.join(queries, "query_id").groupBy("block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "q", "cells")).alias("queries"))
     # a row a cell again
     places = spark.createDataFrame([(c, b, p) for c, (b, p) in place.items()], "cell int, first int, parts int")
-    packed = index.join(F.broadcast(places), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int"))
+    packed = index.join(F.broadcast(places), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("place"), F.col("parts"))).cast("int"))
     blocks = packed.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v", "cell")).alias("vectors"))
     met = materialize(blocks, "imi_blocks").join(materialize(asked, "imi_asked"), "block").select("queries", "vectors")
 
@@ -182,7 +213,7 @@ def search(df: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id",
             for qs, vs in zip(batch.column(0), batch.column(1), strict=True):
                 qs, vs = qs.values, vs.values
                 qid, vid, cell = np.asarray(qs.field(0)), np.asarray(vs.field(0)), np.asarray(vs.field(2))
-                q, v = (np.asarray(s.field(1).flatten()).reshape(-1, dim) for s in (qs, vs))
+                q, v = (np.asarray(s.field(1).flatten(), dtype=np.float64).reshape(-1, dim) for s in (qs, vs))
                 out = []
                 for i, own in enumerate(qid):
                     on = np.flatnonzero(np.isin(cell, qs.field(2)[i].values.to_numpy()) & (vid != own))
