@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over quantised metadata (DataFrame functions only).
 
-Metadata columns are quantised to five bits each: text columns by the rank of their value among the
-distinct values, numbers by their binary magnitude.  The Hilbert index of the cell orders the rows, and
+Metadata columns are quantised to five bits each by the rank of their value among the distinct values; a
+number's value is its binary magnitude.  The Hilbert index of the cell orders the rows, and
 the order is cut into runs, so that each shard covers a small box of the metadata and a reader's min/max
 statistics prune files in every dimension.
 
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, small
+from ..sources.tables import by_ranges
+from .shared import BROADCAST_ROWS, materialize, small
 
 BITS = 5
 GROUP_ROWS = 4096  # rows aimed at in a (cell, salt) group
@@ -46,6 +47,20 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(places, F.lit(0).cast("bigint"), lambda a, p: a * 2 + bit(p))
 
 
+def _ranked(values: DataFrame, name: str) -> DataFrame:
+    """Distinct values with their rank from 0 and their number: ``_v``, ``_r``, ``_k``; many are ranked by ranges."""
+    n = values.count()
+    if n <= BROADCAST_ROWS:
+        rank = F.row_number().over(Window.orderBy(F.asc_nulls_first(name))) - 1
+        return values.select(F.col(name).alias("_v"), rank.cast("long").alias("_r"), F.lit(n).cast("long").alias("_k"))
+    dealt = by_ranges(values, F.asc_nulls_first(name), label="shard_ranges")
+    sums = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_in"))  # a row a range
+    sums = sums.select(F.col("_p").alias("_q"), (F.sum("_in").over(Window.orderBy("_p")) - F.col("_in")).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(F.asc_nulls_first(name))) - 1
+    numbered = dealt.withColumn("_i", own).join(F.broadcast(sums), F.col("_p") == F.col("_q"))
+    return numbered.select(F.col(name).alias("_v"), (F.col("_base") + F.col("_i")).cast("long").alias("_r"), F.lit(n).cast("long").alias("_k"))
+
+
 def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), bits: int = BITS, key: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, curve, shard, slot, grown_shard: one row for each row of ``df``.
 
@@ -61,15 +76,15 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = df.select(*keys, F.col(f"`{id_col}`").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), *[F.col(f"`{d}`").cast("string").alias(n) for d, n in zip(dims, names, strict=True)])
     rows = materialize(rows.withColumn("_place", F.monotonically_increasing_id()), "shard_rows")
     cells = 1 << bits
-    coded = rows.withColumn("_m", F.least(F.length(F.bin("size")) - 1, F.lit(cells - 1)).cast("int"))
-    for name in names:
+    # each dimension's values are spread over its whole axis, so that the curve turns in all of them alike
+    rows = rows.withColumn("_m", F.length(F.bin("size")))
+    coded, packed = rows, F.lit(0).cast("bigint")
+    for i, name in enumerate(["_m", *names]):
         ranks = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_c"))
-        ranks = ranks.select(F.col(name).alias("_v"), (F.row_number().over(Window.orderBy(F.asc_nulls_first(name))) - 1).cast("long").alias("_r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_k"))
-        ranks = materialize(ranks.select("_v", F.floor(F.col("_r") * cells / F.greatest(F.col("_k"), F.lit(cells))).cast("int").alias(f"{name}_q")), "shard_ranks")
+        ranks = _ranked(materialize(ranks, "shard_values"), name)
+        ranks = materialize(ranks.select("_v", F.floor(F.col("_r") * cells / F.col("_k")).cast("int").alias(f"{name}_q")), "shard_ranks")
         coded = coded.join(small(ranks, ranks.count()), F.col(name).eqNullSafe(F.col("_v"))).drop("_v")
-    packed = F.col("_m").cast("bigint")
-    for i, name in enumerate(names):
-        packed = packed + F.col(f"{name}_q").cast("bigint") * (1 << bits * (i + 1))
+        packed = packed + F.col(f"{name}_q").cast("bigint") * (1 << bits * i)
     coded = coded.select(*keys, "doc_id", "size", "text_crc32", "_place", packed.alias("_cell"))
     # the curve is computed for cells, of which there are few, not for rows
     axis = lambda i: F.call_function("shiftright", F.col("_cell"), F.lit(bits * i)).bitwiseAND(F.lit(cells - 1))
