@@ -75,6 +75,14 @@ def test_chat_round_trip(spark):
         assert r.loss_texts == [x for role, x in convs[r.conv_id] if role == "assistant"]
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 3000])
+def test_spans_of_long_conversations(spark, n):
+    turns = [("assistant" if i % 3 else "user", f"text {i} <|") for i in range(n)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id int, turn int, role string, text string")
+    (back,) = chat.read_chat(chat.format_chat(df)).collect()
+    assert [tuple(t) for t in back.turns] == turns and back.loss_texts == [t for r, t in turns if r == "assistant"]
+
+
 def test_chat_edges(spark):
     schema = "conv_id int, turn int, role string, text string"
     rows = [(None, 1, None, None), (None, None, "assistant", "x"), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a")]
@@ -154,3 +162,11 @@ def test_very_long_texts(spark):
     turns = spark.createDataFrame([(1, t, r, long) for t, r in enumerate(["user", "assistant", "assistant"])], "conv_id int, turn int, role string, text string")
     (back,) = chat.read_chat(chat.format_chat(turns)).collect()
     assert [t.text for t in back.turns] == [long] * 3 and back.loss_texts == [long] * 2
+
+
+def test_many_values_are_ranked_by_ranges(spark, monkeypatch):
+    values = spark.createDataFrame([(v,) for v in [None, *(f"h{i * 37 % 500:03}" for i in range(500))]], "host string")
+    want = {v: i for i, v in enumerate([None, *(f"h{i:03}" for i in range(500))])}
+    for limit in (1000, 10):
+        monkeypatch.setattr(hilbert, "BROADCAST_ROWS", limit)
+        assert {r._v: r._r for r in hilbert._ranked(values, "host").collect()} == want
