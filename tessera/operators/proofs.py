@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
@@ -33,10 +33,15 @@ def hash_pair(left: bytes, right: bytes) -> bytes:
     return hashlib.sha256(b"\x01" + left + right).digest()
 
 
-def _leaf(ops: DataFrame, location: str, key: str, value: str) -> DataFrame:
+def leaf_hash(location: str, key: str, value: str) -> Column:
+    """hash_leaf() of leaf_bytes() of columns."""
     part = lambda c: F.when(F.col(c).isNull(), F.lit(bytearray(b"\x00"))).otherwise(F.concat(F.lit(bytearray(b"\x01")), F.unhex(F.lpad(F.hex(F.length(c).cast("long")), 16, "0")), F.col(c)))
     content = F.concat(F.lit(bytearray(b"\x00")), F.unhex(F.lpad(F.hex(F.col(location).cast("long")), 16, "0")), part(key), part(value))
-    return ops.select(F.lit(0).alias("level"), F.col(location).cast("long").alias("i"), F.unhex(F.sha2(content, 256)).alias("h"))
+    return F.unhex(F.sha2(content, 256))
+
+
+def _leaf(ops: DataFrame, location: str, key: str, value: str) -> DataFrame:
+    return ops.select(F.lit(0).alias("level"), F.col(location).cast("long").alias("i"), leaf_hash(location, key, value).alias("h"))
 
 
 @dataclass(frozen=True)

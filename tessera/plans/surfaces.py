@@ -20,7 +20,7 @@ from ..sources import files
 from ..sources.kv import KvStore, WriteBatch
 from ..sources.log import LogError
 from ..sources.tables import materialize, shared_dir
-from ..sources.upload import OpLogWriter, Poisoned
+from ..sources.upload import OpLogWriter, Poisoned, verify_batches
 from ..spec import ColumnSpec, SpecError, TableSpec
 from ..streaming.subscribe import stream, subscribe_operations, subscribe_records
 from .common import Registry, table
@@ -28,7 +28,8 @@ from .scans import ORDERS
 from .versions import _LATEST, _REGEX, EVENTS, _state, _store, log
 
 R = Registry()
-UPLOAD = 5000  # operations that one client appends at once
+UPLOAD = 5000  # operations of an uploaded batch
+TOGETHER = 500  # uploaded batches that a micro-batch takes
 
 
 def refusal(f, *errors) -> str:
@@ -325,33 +326,25 @@ def r5_admission(spark, d):
 
 
 def _uploaded(spark, d) -> OpLogWriter:
-    """events as operations, appended by a client that draws them in order; an error deletes its user's key."""
-    w, batch = OpLogWriter(spark, shared_dir(spark)), []
-    rows = table(spark, d, "events").select("event_id", int_key(F.col("user_id")).alias("k"), F.when(F.col("event_type") != "error", F.encode("props", "UTF-8")).alias("v"))
-    for r in rows.orderBy("event_id").toLocalIterator():
-        batch.append((bytes(r.k), None if r.v is None else bytes(r.v)))
-        if len(batch) == UPLOAD:
-            w.append(batch)
-            batch = []
-    if batch:
-        w.append(batch)
+    """events as operations in order, in batches that tasks write; an error deletes its user's key."""
+    w = OpLogWriter(spark, shared_dir(spark))
+    rows = table(spark, d, "events").select("event_id", int_key(F.col("user_id")).alias("key"), F.when(F.col("event_type") != "error", F.encode("props", "UTF-8")).alias("value"))
+    w.append_frame(rows, "event_id", UPLOAD)
     w.flush()
     return w
 
 
 @R.add(f"SELECT event_id // {UPLOAD} + 1 AS seq, event_id AS location, true AS proven FROM events WHERE event_type <> 'error' AND starts_with(props, '{{\"k\": 1')")
 def r8_operation_subscription(spark, d):
-    """Operations by key and value filters, batch by batch, each batch with a proof against its head."""
+    """Operations by key and value filters, each batch with a proof against its head; many batches a micro-batch."""
     w = _uploaded(spark, d)
     root, out = w.log.root, f"{w.log.root}/frames"
-    heads = {m.first: bytes(m.head) for m in w.log.history("watermark").collect()}
+    heads = materialize(w.log.history("watermark").select("first", "head"), "heads")
 
-    def handle(seq, rows, proof):
-        leaves = {r.location: proofs.leaf_bytes(r.location, bytes(r.key), bytes(r.value)) for r in rows.collect()}
-        proofs.verify_batch(heads[proof.first], proof, leaves)
-        rows.select("seq", "location", F.lit(True).alias("proven")).write.mode("overwrite").parquet(f"{out}/frame={seq}")
+    def handle(number, rows, found):
+        verify_batches(heads, rows, found).write.mode("overwrite").parquet(f"{out}/frame={number}")
 
-    q = subscribe_operations(spark, root, handle, f"{root}/checkpoint", since=1, once=True, selectors=[Selector(b"")], values=[ValueFilter("prefix", b'{"k": 1')], prove=True)
+    q = subscribe_operations(spark, root, handle, f"{root}/checkpoint", since=1, once=True, max_batches=TOGETHER, selectors=[Selector(b"")], values=[ValueFilter("prefix", b'{"k": 1')], prove=True, together=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("seq", "location", "proven")
 

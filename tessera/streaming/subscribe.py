@@ -22,9 +22,14 @@ FORMAT = "tessera_log"
 LOOKAHEAD = 8  # batches that a micro-batch takes at most, unless told otherwise
 
 
+PART = 16 << 20  # bytes of files that one task reads, if there are several
+
+
 class _Part(InputPartition):
-    def __init__(self, seq: int, path: str):
-        self.seq, self.path = seq, path
+    """Files with the numbers of their batches."""
+
+    def __init__(self, files: list[tuple[int, str]]):
+        self.files = files
 
 
 class LogReader(DataSourceStreamReader):
@@ -97,13 +102,19 @@ class LogReader(DataSourceStreamReader):
 
         if start["seq"] + 1 < self._floor() and start["seq"] < end["seq"]:
             raise LogError("BATCH_EVICTED", f"{start['seq'] + 1} is evicted", self._floor())
-        out = []
+        out, room = [], 0
         for seq in range(start["seq"] + 1, end["seq"] + 1):
             with self.fs.open_input_stream(f"{self.path}/manifest/{seq}.json") as f:
                 table = json.loads(f.read())["tables"].get(self.table)
             if table:
                 store, path = fs.FileSystem.from_uri(table["path"])
-                out += [_Part(seq, f"{path}/{x.base_name}") for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet")]
+                for x in store.get_file_info(fs.FileSelector(path)):
+                    if x.base_name.endswith(".parquet"):
+                        if x.size > room:
+                            out.append(_Part([]))
+                            room = PART
+                        out[-1].files.append((seq, f"{path}/{x.base_name}"))
+                        room -= x.size
         return out
 
     def read(self, partition: _Part) -> Iterator:
@@ -111,10 +122,12 @@ class LogReader(DataSourceStreamReader):
         import pyarrow.parquet as pq
 
         names = [f.name for f in self.schema if f.name != "seq"]
-        for batch in pq.ParquetFile(self.fs.open_input_file(partition.path)).iter_batches(columns=names):
-            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            cols["seq"] = pa.array([partition.seq] * batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([cols[f.name] for f in self.schema], names=[f.name for f in self.schema])
+        for seq, path in partition.files:
+            with self.fs.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(columns=names):
+                    cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+                    cols["seq"] = pa.array([seq] * batch.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([cols[f.name] for f in self.schema], names=[f.name for f in self.schema])
 
     def commit(self, end: dict) -> None:
         pass
@@ -175,12 +188,20 @@ class Subscription:
         self.query.processAllAvailable()
 
 
-def each_sequence(rows: DataFrame, handle: Callable[[int, DataFrame], None], checkpoint: str, once: bool = False, name: str | None = None) -> Subscription:
+def each_sequence(rows: DataFrame, handle: Callable[[int, DataFrame], None], checkpoint: str, once: bool = False, name: str | None = None, together: bool = False) -> Subscription:
     """Call ``handle(seq, rows)`` for each batch that has rows, in order; batches without any are left out.
 
     A micro-batch is read once: its rows are written by number below the checkpoint, and each call reads its own.
+    ``together`` calls once a micro-batch that has rows, with its number and all its rows; seq tells them apart.
     """
 
+    def run_together(batch: DataFrame, number: int) -> None:
+        spark, folder = batch.sparkSession, f"{checkpoint.rstrip('/')}/frames/{number}"
+        batch.write.mode("overwrite").parquet(folder)
+        if (got := spark.read.schema(batch.schema).parquet(folder)).limit(1).count():
+            handle(number, got)
+        Store(spark, checkpoint).delete(f"frames/{number}")
+
     def run(batch: DataFrame, number: int) -> None:
         spark, folder = batch.sparkSession, f"{checkpoint.rstrip('/')}/frames/{number}"
         store = Store(spark, checkpoint)
@@ -189,16 +210,16 @@ def each_sequence(rows: DataFrame, handle: Callable[[int, DataFrame], None], che
             handle(seq, spark.read.schema(batch.schema).parquet(f"{folder}/_seq={seq}"))
         store.delete(f"frames/{number}")
 
-    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(run_together if together else run).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
     return Subscription(writer.trigger(processingTime="0 seconds" if once else "1 second").start(), once)
 
 
-def _subscribe(spark: SparkSession, root: str, table: str, schema: T.StructType | None, where, handle, checkpoint: str, since: int | None, once: bool, max_batches: int | None) -> Subscription:
+def _subscribe(spark: SparkSession, root: str, table: str, schema: T.StructType | None, where, handle, checkpoint: str, since: int | None, once: bool, max_batches: int | None, together: bool = False) -> Subscription:
     until = CommitLog(spark, root).current() if once else None
     rows = stream(spark, root, table, schema, since, max_batches, checkpoint, until)
-    return each_sequence(rows.filter(where), handle, checkpoint, once)
+    return each_sequence(rows.filter(where), handle, checkpoint, once, together=together)
 
 
 def subscribe_log(spark: SparkSession, root: str, selectors: list[Selector], handle: Callable[[int, DataFrame], None], checkpoint: str, values: list[ValueFilter] | None = None, since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD) -> Subscription:
@@ -211,14 +232,16 @@ def subscribe_sql(spark: SparkSession, root: str, table: str, schema: T.StructTy
     return _subscribe(spark, root, table, schema, F.expr(where), handle, checkpoint, since, once, max_batches)
 
 
-def subscribe_operations(spark: SparkSession, root: str, handle: Callable[..., None], checkpoint: str, where: str = "true", since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD, selectors: list[Selector] | None = None, values: list[ValueFilter] | None = None, prove: bool = False) -> Subscription:
+def subscribe_operations(spark: SparkSession, root: str, handle: Callable[..., None], checkpoint: str, where: str = "true", since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD, selectors: list[Selector] | None = None, values: list[ValueFilter] | None = None, prove: bool = False, together: bool = False) -> Subscription:
     """Operations of an uploaded log, batch by batch: those that any of ``selectors`` and ``values`` matches.
 
     A batch and its watermark are published as one, so whatever is seen is at or below the watermark; the
     batch number is the cursor to resume from.  With ``prove`` the handler gets a third argument, the proof that
-    the operations are what the batch's head holds at their locations (operators/proofs.py).
+    the operations are what the batch's head holds at their locations (operators/proofs.py).  ``together`` hands over
+    a micro-batch at once, under its own number, and the proofs as a DataFrame with a row a batch; nothing of it is
+    collected.
     """
-    from ..sources.upload import OPS, prove_batch
+    from ..sources.upload import OPS, prove_batch, prove_batches
 
     keep = F.expr(where)
     if selectors or values:
@@ -229,7 +252,11 @@ def subscribe_operations(spark: SparkSession, root: str, handle: Callable[..., N
         # a batch is what one client appended at once
         handle(seq, rows, prove_batch(log, seq, [r.location for r in rows.select("location").collect()]))
 
-    return _subscribe(spark, root, "ops", OPS, keep, proven if prove else handle, checkpoint, since, once, max_batches)
+    def proven_together(number: int, rows: DataFrame) -> None:
+        handle(number, rows, prove_batches(log, rows))
+
+    call = (proven_together if together else proven) if prove else handle
+    return _subscribe(spark, root, "ops", OPS, keep, call, checkpoint, since, once, max_batches, together)
 
 
 def subscribe_records(spark: SparkSession, root: str, kind: str, handle: Callable[[int, DataFrame], None], checkpoint: str, since: int | None = None, once: bool = False, max_batches: int | None = LOOKAHEAD) -> Subscription:

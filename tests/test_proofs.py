@@ -156,3 +156,44 @@ def test_files(spark, tmp_path):
         path = str(tmp_path / f)
         files.write(df.drop("more") if f == "csv" else df, path, f, sort_by=["id"], **({"header": True} if f == "csv" else {}))
         assert {tuple(r) for r in files.read(spark, spec, path, f).collect()} == {(1, "a"), (2, None)}
+
+
+def test_frames_are_uploaded_and_proven_by_tasks(spark, root, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tessera.sources.upload import prove_batches, verify_batches
+
+    one, many = OpLogWriter(spark, f"{root}/one"), OpLogWriter(spark, f"{root}/many")
+    ops = [(b"k%d" % (i % 5), None if i % 4 == 3 else b"v%d" % i) for i in range(23)]
+    for first in (0, 10, 20):
+        one.append(ops[first : first + 10])
+    one.flush()
+    df = spark.createDataFrame([(100 - i, bytearray(k), None if v is None else bytearray(v)) for i, (k, v) in enumerate(ops)], "o long, key binary, value binary")
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", None)
+        assert many.append_frame(df.withColumn("o", -F.col("o")), "o", 10) == 3
+        assert many.flush() == 23
+    plain = lambda w, t: sorted(map(repr, w.log.history(t).select("seq", *(c for c in w.log.history(t).columns if c != "seq")).collect()))
+    assert plain(many, "ops") == plain(one, "ops") and plain(many, "watermark") == plain(one, "watermark") and many.head == one.head
+    assert OpLogWriter(spark, f"{root}/many").next == 23
+    heads, got = many.log.history("watermark"), []
+
+    def handle(number, rows, found):
+        got.append(sorted((r.seq, r.location) for r in verify_batches(heads, rows, found).collect()))
+        for bad in (rows.withColumn("value", F.lit(bytearray(b"x"))), rows.filter("location NOT IN (10, 20)")):
+            with pytest.raises(Exception, match="ProofError"):
+                verify_batches(heads, bad, found).collect()
+
+    q = subscribe_operations(spark, many.log.root, handle, f"{root}/cp", since=1, once=True, max_batches=2, values=[ValueFilter("prefix", b"v")], prove=True, together=True)
+    q.awaitTermination()
+    want = [(i // 10 + 1, i) for i in range(23) if i % 4 != 3]
+    assert got == [[x for x in want if x[0] < 3], [x for x in want if x[0] == 3]]
+    with pytest.raises(ValueError):
+        many.append_frame(df.filter("o > 1000"), "o", 10)
+    # a batch that will not be published takes nothing from those written with it
+    many.append_frame(df, "o", 10)
+    many.waiting[1] = (*many.waiting[1][:2], many.pool.submit(lambda: 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        many.flush()
+    assert many.published == 33 and OpLogWriter(spark, f"{root}/many").operations().count() == 33
+    assert prove_batches(many.log, many.operations().filter("seq = 4")).count() == 1
