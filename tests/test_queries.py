@@ -51,3 +51,12 @@ def test_whole_log_and_tables_are_read(spark, sf_dir):
     assert {r.key for r in ask["q5_active_state_now"](spark, d).collect()} == {r.key for r in ask["w4_cyclic_successor_now"](spark, d).collect()} == alive
     assert sum(r.n for r in ask["a15_reduce_whole"](spark, d).collect()) == events.count()
     assert ask["f9_key_codec_order_whole"](spark, d).count() == parts.count()
+
+
+def test_approximations_keep_a_sketch_a_group(spark, tmp_path):
+    """Nulls stay a group, and no sketch is made beside a distinct count."""
+    rows = [(None if i % 3 == 0 else "A", None if i % 7 == 0 else i % 50, float(i % 11)) for i in range(600)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["a18_approximate"](spark, str(tmp_path))
+    assert sorted(got.collect(), key=repr) == sorted([("A", True), (None, True)], key=repr)
+    assert "Expand" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "count(distinct" not in plan.lower()
