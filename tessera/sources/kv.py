@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from ..operators import prune as pruning
 from ..operators import reduce as reducing
 from ..operators.predicates import Selector, ValueFilter, stream_filter
 from .log import CommitLog
+from .tables import by_ranges
 
 MAX_KEY, MAX_VALUE = 254, 10 << 20
 ENTRY = T.StructType([T.StructField("ord", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
@@ -128,6 +129,18 @@ class KvStore:
         if page or not sent:
             yield page
 
+    def pages(self, rows: DataFrame, size: int = 4096) -> DataFrame:
+        """``rows`` of a range in order of keys with the number of their page, as frames() draws them, in tasks.
+
+        Keys are numbered inside ranges, on top of the ranges before.
+        """
+        dealt, before = by_ranges(rows, "key", label="pages"), Window.orderBy("_p")  # a row a range
+        sums = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        sums = sums.select(F.col("_p").alias("_q"), (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
+        own = F.row_number().over(Window.partitionBy("_p").orderBy("key")) - 1
+        numbered = dealt.withColumn("_i", own).join(F.broadcast(sums), F.col("_p") == F.col("_q"))
+        return numbered.select(*rows.columns, F.floor((F.col("_base") + F.col("_i")) / size).cast("long").alias("page"))
+
     def reduce(self, spec: reducing.ReduceSpec, start: bytes = b"", end: bytes = b"", min_seq: int | None = None) -> DataFrame:
         rows = self._own(None, min_seq).filter(F.col("key") >= F.lit(bytearray(self.ns + start)))
         if end:

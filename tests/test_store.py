@@ -218,3 +218,17 @@ def test_points_are_read_from_few_row_groups(spark, root):
     assert s.get(key) is not None and files >= 1
     plan = s._own().filter("key = X'00'")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(key), EqualTo(key" in plan
+
+
+def test_pages_are_numbered_by_tasks(spark, root, sf_dir, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tessera.plans import registry
+
+    s = KvStore(spark, root)
+    s.put([(b"%03d" % i, b"v") for i in range(25)])
+    want = {bytes(r.key): n for n, page in enumerate(s.frames(s.range(), 10)) for r in page}
+    assert {bytes(r.key): r.page for r in s.pages(s.range(), 10).collect()} == want and s.pages(s.range(b"x"), 10).count() == 0
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)  # the query draws no rows
+    got = registry.queries()["s6_frames"](spark, sf_dir).collect()
+    assert [r.n for r in got if r.asked == "nothing"] == [0] and sum(r.n for r in got) == 202
