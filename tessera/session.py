@@ -7,10 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.predicates import Constraint
+from .operators.predicates import Constraint, conjunction
 from .sources import index as indexing
 from .sources.log import CommitLog, Receipt, Staged
 from .spec import MAX_TABLES, SpecError, TableSpec
@@ -62,12 +62,17 @@ class Engine:
         base = self.spark.read.schema(spec.schema).parquet(found["path"])
         return base if rows is None else indexing.replaced(base, rows, list(spec.primary_key))
 
-    def _latest(self, name: str, after: int, at: int | None = None) -> DataFrame | None:
-        """Of each primary key the last row that batches in (after, at] wrote; None if they wrote none."""
+    def _latest(self, name: str, after: int, at: int | None = None, where: Column | None = None) -> DataFrame | None:
+        """Of each primary key the last row that batches in (after, at] wrote; None if they wrote none.
+
+        With ``where`` only of keys of which some row, the last or an earlier one, satisfies it.
+        """
         spec = self.specs[name]
         rows = self.log.history(name, after, at)
         if rows is None:
             return None
+        if where is not None:
+            rows = rows.join(rows.filter(where).select(*spec.primary_key), list(spec.primary_key), "left_semi")
         rest = [c.name for c in spec.columns if c.name not in spec.primary_key]
         last = rows.groupBy(*spec.primary_key).agg(F.max_by(F.struct(*(rest or ["_ord"])), F.struct("seq", "_ord")).alias("_l"))
         return last.select(*[F.col(c.name) if c.name in spec.primary_key else F.col(f"_l.{c.name}").alias(c.name) for c in spec.columns])
@@ -204,10 +209,12 @@ class Engine:
         ready = self._ready(name, at)
         columns = columns or [c.name for c in spec.columns]
         path = indexing.choose(spec, constraints, columns, set(ready))
-        newer = None
+        newer = written = None
         if path.mode in ("covering", "lookup") and name not in self.external:
-            newer = self._latest(name, ready[path.path].seq, at)
-        return indexing.scan(self.table(name, at), ready, spec, constraints, columns, path, newer)
+            seq = ready[path.path].seq
+            newer = self._latest(name, seq, at, conjunction(constraints) if path.mode == "covering" else None)
+            written = self.log.history(name, seq, at)
+        return indexing.scan(self.table(name, at), ready, spec, constraints, columns, path, newer, written)
 
     def _ready(self, name: str, at: int | None = None) -> dict[str, indexing.Projection]:
         """The projections that give a snapshot together with the batches after them."""

@@ -44,9 +44,9 @@ def stored(store, spark: SparkSession, table: TableSpec) -> dict[str, Projection
     return out
 
 
-def replaced(rows: DataFrame, newer: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with those of ``newer`` in place of the ones with the same key."""
-    return rows.join(newer.select(*key), key, "left_anti").select(*rows.columns).unionByName(newer.select(*rows.columns))
+def replaced(rows: DataFrame, newer: DataFrame, key: list[str], gone: DataFrame | None = None) -> DataFrame:
+    """``rows`` with those of ``newer`` in place of the ones with the same key, or of those whose key is in ``gone``."""
+    return rows.join((newer if gone is None else gone).select(*key), key, "left_anti").select(*rows.columns).unionByName(newer.select(*rows.columns))
 
 
 def place(value: Column, points: list[float]) -> Column:
@@ -145,17 +145,22 @@ def choose(table: TableSpec, constraints: list[Constraint], columns: list[str],
     return best
 
 
-def scan(base: DataFrame, projections: dict[str, Projection], table: TableSpec, constraints: list[Constraint], columns: list[str], path: AccessPath, newer: DataFrame | None = None) -> DataFrame:
+def scan(base: DataFrame, projections: dict[str, Projection], table: TableSpec, constraints: list[Constraint], columns: list[str], path: AccessPath, newer: DataFrame | None = None, written: DataFrame | None = None) -> DataFrame:
     """Rows and columns of ``table`` under ``constraints`` by ``path``.
 
-    ``newer`` are the table's rows that were written after the path's projection.  A lookup restricts the base
+    ``newer`` are the table's rows that were written after the path's projection (covering: at least those of keys of
+    which some written row meets the constraints), ``written`` has the keys of all of them.  A covering scan meets
+    only the keys that it found with those, so that what was written is not sorted as a whole.  A lookup restricts the base
     to the primary keys that the index finds and those written since, by a semi-join whose strategy Catalyst
     chooses by size.
     """
     where, key = conjunction(constraints), list(table.primary_key)
     if path.mode == "covering":
         p = projections[path.path].rows.filter(where)
-        return (p if newer is None else replaced(p, newer, key).filter(where)).select(*columns)
+        if newer is None:
+            return p.select(*columns)
+        touched = (newer if written is None else written).select(*key).join(p.select(*key), key, "left_semi")
+        return replaced(p, newer.filter(where), key, touched).select(*columns)
     if path.mode == "lookup":
         p = projections[path.path].rows
         keys = p.filter(conjunction([c for c in constraints if c.column in p.columns])).select(*key)

@@ -327,3 +327,20 @@ def test_policies_in_one_pass(spark):
     policies = [PrunePolicy(b"a", r"(?s-u)^(?P<g>.)(?P<v>.)$", Retain("keep_latest", 2), ("g",), ("v", "bytes")), PrunePolicy(b"b", rx, Retain("keep_latest", 1), (), ("v", "i64_be")), PrunePolicy(b"c", rx, Retain("at_least", 2), (), ("v", "u64_be")), PrunePolicy(b"d", ".*", Retain("drop_all"))]
     got = sorted(bytes(r.key) for r in apply(state, policies).collect())
     assert got == sorted([b"a" + bytes([i, j]) for i in range(3) for j in (2, 3)] + [b"b" + (9).to_bytes(8, "big")] + [b"c" + v.to_bytes(8, "big") for v in (2, 3)] + [b"e", b"a"])
+
+
+def test_covering_scan_sorts_only_keys_it_found(spark, engine):
+    """Rows written since that meet no constraint in any version are not folded; those that leave or enter are."""
+    from pyspark.sql import functions as F
+
+    spec = TableSpec("t", (ColumnSpec("id", "int64"), ColumnSpec("a", "int64"), ColumnSpec("b", "int64")), ("id",), (IndexSpec("by_a", ("a",), ("b",), "z_order"),))
+    engine.register(spec)
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, a long, b long")
+    engine.insert({"t": rows((1, 5, 0), (2, 5, 0), (3, 9, 0))})
+    engine.backfill("t")
+    engine.insert({"t": rows((2, 9, 1), (3, 5, 1), (4, 5, 1), (5, 9, 1))})
+    engine.insert({"t": rows((4, 9, 2), (6, 5, 2))})
+    got = engine.scan("t", [Constraint("a", "=", 5)], ["id", "b"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0), (3, 1), (6, 2)]
+    folded = engine._latest("t", 1, where=F.col("a") == 5)
+    assert sorted(r.id for r in folded.collect()) == [3, 4, 6]
